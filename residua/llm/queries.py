@@ -4,17 +4,67 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from residua.llm import simhash
+from residua.llm import mixing, phrases, secrets, sharding, simhash
 from residua.llm._common import table
 
 ORACLE_SQL: dict[str, str] = {}
 
+#: Production parameters of op8 and the pipeline's last stage.
+SHARDS = [f"shard-{k:03d}" for k in range(96)]
+#: Production parameters of op10 and the pipeline's mixing stage: sources outside the list have weight 1.
+WEIGHTS = {"src0": 8.0, "src1": 4.0, "src2": 2.0, "src3": 0.5, "src4": 0.25}
+
+
+def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in every document, with corpus-wide ownership of their values."""
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL["op1_secret_scans"] = secrets.ORACLE_SQL
+
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash of 64 bits over 3-word shingles, links at 2 bits, one row per document."""
     return simhash.near_groups(table(spark, sf_dir, "documents"), words=3, radius=2)
 
 
+def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and its edited text, with their likeness."""
+    return phrases.edited_and_next(table(spark, sf_dir, "documents"))
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slot and shard of every document."""
+    return sharding.place(table(spark, sf_dir, "documents"), SHARDS).select("doc_id", "slot", "shard")
+
+
+ORACLE_SQL["op8_sharding"] = f"""
+WITH filled AS (SELECT string_split('{",".join(map(str, sharding.lookup_table(SHARDS)))}', ',') AS numbers),
+placed AS (SELECT doc_id, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null:' || coalesce(text, ''))), 1, 15))::BIGINT % {sharding.SLOTS} AS slot FROM documents)
+SELECT doc_id, slot::INT AS slot, printf('shard-%03d', numbers[slot + 1]::INT) AS shard FROM placed, filled"""
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies of every document by Poisson counts at its source's rate, in shuffled order; each copy with a digest of its text."""
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), WEIGHTS)
+    return mixed.selectExpr("doc_id", "source", "copy", "md5(coalesce(text, '')) AS text_md5")
+
+
+ORACLE_SQL["op10_mixing"] = f"""
+WITH w AS (SELECT * FROM (VALUES {", ".join(f"('{k}', {v}::DOUBLE)" for k, v in WEIGHTS.items())}) AS t(source, weight)),
+n AS (SELECT source, count(*) AS n FROM documents GROUP BY 1),
+r AS (SELECT n.source, coalesce(weight, 1.0) / sum(coalesce(weight, 1.0)) OVER () * sum(n) OVER () / n AS rate FROM n LEFT JOIN w USING (source)),
+s AS (SELECT source, rate, k, exp(k * ln(rate) - rate - lgamma(k + 1)) AS p FROM r, range(0, (SELECT ceil(max(rate) + 9 * sqrt(max(rate)) + 30)::BIGINT FROM r)) AS x(k)),
+c AS (SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS below FROM s),
+d AS (SELECT doc_id, source, md5(coalesce(text, '')) AS text_md5, (('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, 'null:' || coalesce(text, ''))), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u FROM documents),
+t AS (SELECT d.doc_id, d.source, d.text_md5, d.u, count(c.k) FILTER (WHERE c.below < d.u) AS times FROM d JOIN c ON d.source IS NOT DISTINCT FROM c.source GROUP BY ALL)
+SELECT doc_id, source, unnest(range(0, times))::INT AS copy, text_md5 FROM t"""
+
+
 QUERIES = {
+    "op1_secret_scans": op1_secret_scans,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op7_document_fingerprints": op7_document_fingerprints,
+    "op8_sharding": op8_sharding,
+    "op10_mixing": op10_mixing,
 }
