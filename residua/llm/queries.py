@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from residua.llm import mixing, phrases, secrets, sharding, simhash
+from residua.llm import mixing, phrases, secrets, sharding, simhash, toxicity
 from residua.llm._common import table
 
 ORACLE_SQL: dict[str, str] = {}
@@ -28,6 +28,11 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"), words=3, radius=2)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document by subword-bag embeddings."""
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and its edited text, with their likeness."""
     return phrases.edited_and_next(table(spark, sf_dir, "documents"))
@@ -64,6 +69,7 @@ SELECT doc_id, source, unnest(range(0, times))::INT AS copy, text_md5 FROM t"""
 QUERIES = {
     "op1_secret_scans": op1_secret_scans,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op4_toxicity": op4_toxicity,
     "op7_document_fingerprints": op7_document_fingerprints,
     "op8_sharding": op8_sharding,
     "op10_mixing": op10_mixing,
