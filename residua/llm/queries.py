@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from residua.llm import mixing, phrases, secrets, sharding, simhash, toxicity
+from residua.llm import decontamination, line_dedup, mixing, phrases, quality, secrets, sentence_spans, sharding, simhash, toxicity
 from residua.llm._common import table
 
 ORACLE_SQL: dict[str, str] = {}
@@ -23,6 +23,16 @@ def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE_SQL["op1_secret_scans"] = secrets.ORACLE_SQL
 
 
+def _span_texts(name: str) -> str:
+    return f"array_join(transform(__spans, s -> concat_ws(':', s.start, s.end)), ',') AS {name}"
+
+
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without sentences of repeated spans; removed_spans are code points start:end of the old text."""
+    found = sentence_spans.dedup(table(spark, sf_dir, "documents"))
+    return found.selectExpr("doc_id", "text", "__parts AS n_sentences", "__removed AS n_removed", _span_texts("removed_spans"))
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash of 64 bits over 3-word shingles, links at 2 bits, one row per document."""
     return simhash.near_groups(table(spark, sf_dir, "documents"), words=3, radius=2)
@@ -33,6 +43,17 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a document and a benchmark item that it has a copy of, with the alignment's score."""
+    return decontamination.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by co-trained text and metadata views."""
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and its edited text, with their likeness."""
     return phrases.edited_and_next(table(spark, sf_dir, "documents"))
@@ -49,6 +70,12 @@ placed AS (SELECT doc_id, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null:'
 SELECT doc_id, slot::INT AS slot, printf('shard-%03d', numbers[slot + 1]::INT) AS shard FROM placed, filled"""
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without repeated runs of lines; removed_spans are code points start:end of the old text."""
+    found = line_dedup.dedup(table(spark, sf_dir, "documents"))
+    return found.selectExpr("doc_id", "text", "__parts AS n_lines", "__removed AS n_removed", _span_texts("removed_spans"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Copies of every document by Poisson counts at its source's rate, in shuffled order; each copy with a digest of its text."""
     mixed = mixing.mix(table(spark, sf_dir, "documents"), WEIGHTS)
@@ -68,9 +95,13 @@ SELECT doc_id, source, unnest(range(0, times))::INT AS copy, text_md5 FROM t"""
 
 QUERIES = {
     "op1_secret_scans": op1_secret_scans,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_toxicity": op4_toxicity,
+    "op5_benchmark_decontamination": op5_benchmark_decontamination,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_document_fingerprints": op7_document_fingerprints,
     "op8_sharding": op8_sharding,
+    "op9_line_dedup": op9_line_dedup,
     "op10_mixing": op10_mixing,
 }
