@@ -137,7 +137,7 @@ def experiment(spec: EmbedSpec) -> str:
 
 def model_of(spec: EmbedSpec) -> str:
     choice = choose(spec.model_name)
-    return model_name(choice.link or "synthetic", choice.local)
+    return choice.kind if choice.kind == "synthetic" else model_name(choice.link, choice.local)
 
 
 def run(spark: SparkSession, spec: EmbedSpec, sequences: DataFrame | None = None, table: DataFrame | None = None, encoder: Encoder | None = None, vocabulary: Vocabulary | None = None) -> str:

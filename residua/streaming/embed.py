@@ -23,13 +23,13 @@ def stream_outputs(arriving: DataFrame, encoder: Encoder, vocabulary: Vocabulary
 
 
 def embed_stream(spark: SparkSession, source: str, target: str, checkpoint: str, encoder: Encoder, vocabulary: Vocabulary, spec: EmbedSpec, trigger: dict | None = None) -> StreamingQuery:
-    """Reads a folder of Parquet files (ord, sequence_id, sequence) as they arrive and appends outputs under target/batch=N; sequences with unknown tokens go to target/rejected. A repeated batch replaces its own files, so each is written once in effect."""
+    """Reads a folder of Parquet files (ord, sequence_id, sequence) as they arrive and appends outputs under target/outputs/batch=N; sequences with unknown tokens go to target/rejected. A repeated batch replaces its own files, so each is written once in effect."""
     arriving = spark.readStream.schema(SEQUENCES).parquet(source)
 
     def write(batch: DataFrame, number: int) -> None:
         bad = invalid(tokenise(batch, vocabulary, False), vocabulary).select("sequence_id", "unknown")
         good = batch.join(bad.select("sequence_id").distinct(), "sequence_id", "left_anti")
-        write_parquet(stream_outputs(good, encoder, vocabulary, spec), f"{target}/batch={number}", "overwrite", spec.flush_batches_after)
+        write_parquet(stream_outputs(good, encoder, vocabulary, spec), f"{target}/outputs/batch={number}", "overwrite", spec.flush_batches_after)
         bad.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{target}/rejected/batch={number}")
 
     return arriving.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
