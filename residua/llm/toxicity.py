@@ -41,24 +41,26 @@ def is_held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, chars: int, usable: Column | None = None) -> list[tuple[str, int]]:
-    """(text, label) of at most `rows` labelled documents with at most `chars` code points together, in the order of a hash of doc_id."""
-    given = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
-    if usable is not None:
-        given = given.where(usable)
-    given = given.groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("label"))
-    chosen = given.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)  # the bound of the sample
-    texts = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id")
-    sized = texts.select("doc_id", F.length("text").alias("n"), F.xxhash64("doc_id").alias("h")).groupBy("doc_id", "h").agg(F.max("n").alias("n")).orderBy("h", "doc_id").collect()  # at most `rows` rows
+def bounded(docs: DataFrame, labels: DataFrame, rows: int, chars: int, how: str = "inner") -> DataFrame:
+    """docs (doc_id, text, ...) with the columns of labels (unique doc_id), for at most `rows` doc_ids with at most `chars` code points together, in the order of a hash of doc_id.
+
+    how: left_anti takes documents without a label. Documents are chosen by id and length alone; texts aren't shuffled.
+    """
+    sized = docs.groupBy("doc_id").agg(F.max(F.length("text")).alias("n")).join(labels.select("doc_id"), "doc_id", how)
+    chosen = sized.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).collect()  # the bound of the sample
     total, kept = 0, []
-    for r in sized:
+    for r in chosen:
         total += r["n"]
         if total > chars and kept:
             break
-        kept.append(r["doc_id"])
-    ids = docs.sparkSession.createDataFrame([(i,) for i in kept], "doc_id long")
-    found = texts.join(F.broadcast(ids), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").select("text", "label").collect()
-    return [(r["text"], int(r["label"] != 0)) for r in found]
+        kept.append((r["doc_id"],))
+    ids = docs.sparkSession.createDataFrame(kept, "doc_id long")
+    return docs.join(F.broadcast(ids.join(labels, "doc_id", "left")), "doc_id")
+
+
+def in_one_task(sample: DataFrame, work, schema: str) -> list:
+    """Runs work on a bounded sample in one task: its memory and time are an executor's, and a lost executor's task is run again. Rows are in an order of their own, so the result is the same each time."""
+    return sample.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), *sample.columns).mapInArrow(work, schema).collect()
 
 
 def bags_of(texts: list[str], steps, prior: float) -> list:
@@ -75,9 +77,24 @@ def bags_of(texts: list[str], steps, prior: float) -> list:
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> Model:
     """A model from labels (doc_id, toxic) that are not held out. Conflicting labels of a document count as toxic; labels without document, id or value don't count."""
-    sample = labelled_sample(docs, labels, "toxic", rows, chars, ~is_held_out())
-    bags = bags_of([t for t, _ in sample], lambda t: _subwords.ngrams(t, BITS), PRIOR)
-    return Model(*train(bags, np.array([y for _, y in sample]), 1 << BITS))
+    given = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~is_held_out())
+    given = given.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("label"))
+    sample = bounded(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")), given, rows, chars)
+
+    def learn(texts: list[str], labels: list[int]) -> tuple[np.ndarray, float]:
+        bags = bags_of(texts, lambda t: _subwords.ngrams(t, BITS), PRIOR)
+        return train(bags, np.array(labels, np.int64) != 0, 1 << BITS)
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, labels = [], []
+        for batch in batches:
+            texts += batch.column("text").to_pylist()
+            labels += batch.column("label").to_pylist()
+        weights, bias = learn(texts, labels)
+        yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()]), pa.array([float(bias)])], ["weights", "bias"])
+
+    found = in_one_task(sample, work, "weights binary, bias double")
+    return Model(np.frombuffer(found[0]["weights"], np.float32), found[0]["bias"]) if found else Model(*learn([], []))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
