@@ -8,6 +8,7 @@ all documents are scored.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from residua.llm import _subwords
 from residua.llm._bag_model import log_odds, logistic, sigmoid, train
 from residua.llm._common import chunks, flat, text_or_empty
-from residua.llm.toxicity import bags_of
+from residua.llm.toxicity import bounded, in_one_task
 
 #: The bounds of the samples that are learnt from: labelled rows, unlabelled rows, code points of each sample's texts. They are taken in the order of a hash of doc_id; texts are used whole.
 LABELLED_ROWS, UNLABELLED_ROWS, SAMPLE_CHARS = 4000, 2000, 8_000_000
@@ -76,58 +77,56 @@ class Model:
         return sigmoid(np.column_stack([t, p, np.ones(len(t))]) @ self.both), sigmoid(t), sigmoid(p)
 
 
-def _sample(docs: DataFrame, rows: int, chars: int) -> pa.Table:
-    """At most `rows` rows with at most `chars` code points together, in the order of a hash of doc_id."""
-    order = [F.xxhash64("doc_id"), "doc_id"]
-    ids = docs.select("doc_id", F.length("text").alias("n")).orderBy(*order).limit(rows).collect()  # the bound of the sample
-    total, last = 0, 0
-    for r in ids:
-        total += r["n"]
-        if total > chars and last:
-            break
-        last += 1
-    found = docs.join(F.broadcast(docs.sparkSession.createDataFrame([(r["doc_id"],) for r in ids[:last]], "doc_id long")), "doc_id")
-    return found.orderBy(*order, "text").toArrow().combine_chunks()
-
-
 def fit(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS, unlabelled_rows: int = UNLABELLED_ROWS, chars: int = SAMPLE_CHARS, rounds: int = ROUNDS) -> Model:
     """A model from labels (doc_id, quality). Every fifth labelled row of the sample is for calibration alone. Conflicting labels of a document count as low; labels without document, id or value don't count."""
     docs = docs.where(F.col("doc_id").isNotNull())
     given = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min(F.col("quality").cast("int")).alias("y"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("n_chars").cast("long").alias("n_chars"))
-    joined = rows.join(given, "doc_id", "left")
-    parts = [_sample(joined.where("y IS NOT NULL"), labelled_rows, chars), _sample(joined.where("y IS NULL"), unlabelled_rows, chars)]
-    text, page = [], []
-    for part in parts:
-        text.append(bags_of(part.column("text").to_pylist(), lambda t: _subwords.raw_ngrams(t, BITS, ORDERS), PRIOR))
-        bins = np.concatenate([np.zeros((0, FIELDS), np.int64), *(metadata_bins(b) for b in part.to_batches(200))])
-        page.append([(b.astype(np.int32), np.full(FIELDS, 1 / FIELDS, np.float32)) for b in bins])
-    y = (parts[0].column("y").to_numpy() != 0).astype(np.int64)
-    check = np.arange(len(y)) % 5 == 4
-    own = np.flatnonzero(~check)
+    sample = bounded(rows, given, labelled_rows, chars).unionByName(bounded(rows, given, unlabelled_rows, chars, "left_anti"))
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        text, page, y = [], [], []
+        for batch in batches:
+            for part in chunks([batch], "text"):
+                text += _subwords.bags(_subwords.raw_ngrams(part.column("text"), BITS, ORDERS), PRIOR)
+                page += [(b.astype(np.int32), np.full(FIELDS, 1 / FIELDS, np.float32)) for b in metadata_bins(part)]
+                y += part.column("y").to_pylist()
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(co_train(text, page, y, rounds))])], ["model"])
+
+    found = in_one_task(sample, work, "model binary")
+    return Model(*(pickle.loads(found[0]["model"]) if found else co_train([], [], [], rounds)))
+
+
+def co_train(text: list, page: list, y: list[int | None], rounds: int) -> tuple:
+    """The fields of a model, from the bags of both views and the labels (None: unlabelled)."""
+    known = np.array([i for i, v in enumerate(y) if v is not None], dtype=np.int64)
+    free = np.array([i for i, v in enumerate(y) if v is None], dtype=np.int64)
+    labels = np.array([int(y[i] != 0) for i in known], dtype=np.int64)
+    check = np.arange(len(known)) % 5 == 4
+    own, own_labels = known[~check], labels[~check]
     views = (text, 1 << BITS), (page, FIELDS * VALUES)
-    learnt: list[dict[int, int]] = [{}, {}]  # of each view: rows of the unlabelled sample, labelled by the other
+    learnt: list[dict[int, int]] = [{}, {}]  # of each view: unlabelled rows and the labels that the other view gave them
     models: list[tuple[np.ndarray, float]] = []
-    share = y[own].mean() if len(own) else 0.5
+    share = own_labels.mean() if len(own) else 0.5
     for step in range(rounds + 1):
-        models = [train([view[0][i] for i in own] + [view[1][i] for i in more], np.concatenate([y[own], np.array(list(more.values()), np.int64)]), buckets, epochs=10) for (view, buckets), more in zip(views, learnt)]
-        if step == rounds or not len(text[1]):
+        models = [train([view[i] for i in own] + [view[i] for i in more], np.concatenate([own_labels, np.array(list(more.values()), np.int64)]), buckets, epochs=10) for (view, buckets), more in zip(views, learnt)]
+        if step == rounds or not len(free):
             break
         for k, ((view, _), (weights, bias)) in enumerate(zip(views, models)):
-            z = log_odds(view[1], weights, bias)
-            free = np.array([i for i in np.argsort(z, kind="stable") if i not in learnt[1 - k]], dtype=np.int64)
-            take = int(len(z) * CONFIDENT)
-            low = min(round(take * (1 - share)), len(free))
-            learnt[1 - k].update({int(i): 0 for i in free[:low]})
-            learnt[1 - k].update({int(i): 1 for i in free[low:][::-1][: take - low]})
-    odds = [log_odds([view[0][i] for i in np.flatnonzero(check)], *m) for (view, _), m in zip(views, models)]
-    known = y[check].astype(float)
-    if len(set(known.tolist())) < 2:  # nothing to calibrate with
+            z = log_odds([view[i] for i in free], weights, bias)
+            left = np.array([i for i in free[np.argsort(z, kind="stable")] if i not in learnt[1 - k]], dtype=np.int64)
+            take = int(len(free) * CONFIDENT)
+            low = min(round(take * (1 - share)), len(left))
+            learnt[1 - k].update({int(i): 0 for i in left[:low]})
+            learnt[1 - k].update({int(i): 1 for i in left[low:][::-1][: take - low]})
+    odds = [log_odds([view[i] for i in known[check]], *m) for (view, _), m in zip(views, models)]
+    truth = labels[check].astype(float)
+    if len(set(truth.tolist())) < 2:  # nothing to calibrate with
         scales, both = [np.array([1.0, 0.0])] * 2, np.array([0.5, 0.5, 0.0])
     else:
-        scales = [logistic(z[:, None], known) for z in odds]
-        both = logistic(np.column_stack([s[0] * z + s[1] for s, z in zip(scales, odds)]), known)
-    return Model(*models, *scales, both)
+        scales = [logistic(z[:, None], truth) for z in odds]
+        both = logistic(np.column_stack([s[0] * z + s[1] for s, z in zip(scales, odds)]), truth)
+    return (*models, *scales, both)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
