@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import shutil
 from collections.abc import Iterable, Iterator
 from pathlib import PurePosixPath
 
@@ -61,6 +62,12 @@ def _lists(values: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values), kind))
 
 
+def _slices(column: pa.ListArray) -> list[np.ndarray | None]:
+    """The rows of a list column as views of its values; None for nulls."""
+    values, at = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    return [values[a:b] if ok else None for a, b, ok in zip(at, at[1:], column.is_valid().to_numpy(zero_copy_only=False))]
+
+
 def represent(encoded: DataFrame, encoder: Encoder, resolved: Resolved, spec: EmbedSpec, pad_id: int, length: int) -> DataFrame:
     """The outputs of encoded rows (schema sinks.outputs.SCHEMA): one forward pass for all of them, pooled within the pass.
 
@@ -81,8 +88,8 @@ def represent(encoded: DataFrame, encoder: Encoder, resolved: Resolved, spec: Em
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ids = [np.asarray(x) for x in batch.column("input_ids").to_pylist()]
-            masks = {c: batch.column(c).to_pylist() for c in ("pooling_mask", "substring_mask")}
+            ids = _slices(batch.column("input_ids"))
+            masks = {c: _slices(batch.column(c)) for c in ("pooling_mask", "substring_mask")}
             lengths = [length if full else len(x) for x in ids]
             for group in batches_by_budget(lengths, spec.batch_size, not full):
                 wide = max(1, max(lengths[i] for i in group))
@@ -179,6 +186,7 @@ def run(spark: SparkSession, spec: EmbedSpec, sequences: DataFrame | None = None
     sink.write_index(encoded, f"{root}/{experiment(spec)}_idx")
     if spec.npy and n:
         local = spec.output_path.removeprefix("file://")
+        require_space(manifest(spark, spec, resolved, encoder, n, length), shutil.disk_usage(local).free)
         made = read_outputs(spark, where)
         for what in resolved.outputs:
             sink.export_npy(made.where(F.col("output_type") == what), f"{local}/{model_of(spec)}/{what}", experiment(spec), model_of(spec), n, dtype_of(spec.precision), spec.flatten and not what.endswith("pooled"))
