@@ -9,7 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-Parts = Callable[[str], list[tuple[int, int]]]
+from residua.llm._common import chunks, flat
+
+#: Of flat texts: the first byte of each part, and the n + 1 offsets of the texts in the parts.
+Parts = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
 def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -23,21 +26,18 @@ def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def cut(text: str, parts: list[tuple[int, int]], runs: list[tuple[int, int]]) -> tuple[str, int, list[tuple[int, int]]]:
-    """The text without the parts that runs of part numbers cover, how many parts went, and the code points that went. A run takes the space after it along, up to the next part."""
-    spans, n = [], 0
-    for a, b in merged(runs):
-        spans.append((parts[a][0], parts[b][0] if b < len(parts) else len(text)))
-        n += b - a
+def cut(text: bytes, starts: list[int], runs: list[tuple[int, int]]) -> tuple[bytes, int, list[tuple[int, int]]]:
+    """The text without the parts that runs of part numbers cover, how many parts went, and the bytes that went. A part takes what is behind it along, up to the next part."""
+    spans = [(starts[a], starts[b] if b < len(starts) else len(text)) for a, b in merged(runs)]
     kept, at = [], 0
     for a, b in spans:
         kept.append(text[at:a])
         at = b
-    return "".join(kept) + text[at:], n, spans
+    return b"".join(kept) + text[at:], sum(b - a for a, b in merged(runs)), spans
 
 
 def remove_runs(docs: DataFrame, runs: DataFrame, parts: Parts, id_col: str, text_col: str) -> DataFrame:
-    """docs without the parts (numbered by `parts`) in runs (id, start, end); more columns: __parts, __removed (int), __spans (array of start, end).
+    """docs without the parts (numbered by `parts`) in runs (id, start, end); more columns: __parts, __removed (int), __spans (array of start, end in code points of the old text).
 
     A document's runs are gathered in one row: they are at most as many as its parts. Texts are moved once, by id.
     """
@@ -45,23 +45,29 @@ def remove_runs(docs: DataFrame, runs: DataFrame, parts: Parts, id_col: str, tex
     of = runs.groupBy(F.col("id").alias("__id")).agg(F.collect_set(run).alias("__runs"))
     joined = docs.join(of, F.col(id_col).cast("long") == F.col("__id"), "left").drop("__id")
     names = [f.name for f in docs.schema.fields]
-    schema = docs.select(*[F.col(f"`{c}`") for c in names]).withColumn("__parts", F.lit(None).cast("int")).withColumn("__removed", F.lit(None).cast("int")).withColumn("__spans", F.lit(None).cast("array<struct<start:int,end:int>>")).schema
-    at = names.index(text_col)
+    added = {"__parts": "int", "__removed": "int", "__spans": "array<struct<start:int,end:int>>"}
+    schema = docs.withColumns({c: F.lit(None).cast(kind) for c, kind in added.items()}).schema
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-        for batch in batches:
+        for batch in chunks(batches, text_col):
             columns = [batch.column(k) for k in range(len(names))]
-            texts, counts, gone, spans = [], [], [], []
-            for text, found in zip(columns[at].to_pylist(), batch.column(len(names)).to_pylist()):
-                where = parts(text or "")
-                inside = [(r["start"], min(r["end"], len(where))) for r in found or ()]
-                new, n, span = cut(text, where, inside) if inside and text else (text, 0, [])
-                texts.append(new)
-                counts.append(len(where))
-                gone.append(n)
-                spans.append([{"start": a, "end": b} for a, b in span])
-            columns[at] = pa.array(texts, columns[at].type)
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.array(counts, np.int32)), pa.array(np.array(gone, np.int32)), pa.array(spans, kind)], [*names, "__parts", "__removed", "__spans"])
+            at = names.index(text_col)
+            data, offsets = flat(columns[at])
+            first, bounds = parts(data, offsets)
+            gone, spans = np.zeros(batch.num_rows, np.int32), [[]] * batch.num_rows
+            found = batch.column(len(names))
+            hit = np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False))
+            if len(hit):
+                texts = columns[at].to_pylist()
+                for k, own in zip(hit.tolist(), found.take(pa.array(hit)).to_pylist()):
+                    starts = (first[bounds[k] : bounds[k + 1]] - offsets[k]).tolist()
+                    raw = data[offsets[k] : offsets[k + 1]]
+                    new, gone[k], where = cut(raw.tobytes(), starts, [(r["start"], min(r["end"], len(starts))) for r in own])
+                    texts[k] = new.decode("utf-8", "surrogatepass")
+                    points = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
+                    spans[k] = [{"start": int(points[a]), "end": int(points[b])} for a, b in where]
+                columns[at] = pa.array(texts, columns[at].type)
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.diff(bounds).astype(np.int32)), pa.array(gone), pa.array(spans, kind)], [*names, *added])
 
     return joined.select(*[F.col(f"`{c}`") for c in names], "__runs").mapInArrow(work, schema)

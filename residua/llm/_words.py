@@ -45,6 +45,34 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.searchsorted(start, offsets)
 
 
+_SPACE = np.zeros(256, bool)
+_SPACE[[*range(9, 14), 32]] = True
+_LOWER = np.arange(256, dtype=np.uint64) + np.uint64(1)
+_LOWER[65:91] += np.uint64(32)
+
+
+def spaced_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte and 64-bit hash of each word of the flat texts (what stands between ASCII white space; A-Z in lower case), and the n + 1 offsets of the texts in the words."""
+    word = ~_SPACE[data]
+    filled = np.flatnonzero(np.diff(offsets))
+    first, last = word.copy(), word.copy()
+    first[1:] &= ~word[:-1]
+    last[:-1] &= ~word[1:]
+    first[offsets[filled]] = word[offsets[filled]]
+    last[offsets[filled + 1] - 1] = word[offsets[filled + 1] - 1]
+    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    hashes = range_hashes(_LOWER[data], start, end)
+    return start, end, hashes, np.searchsorted(start, offsets)
+
+
+def range_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of values[start:end] for each start and end."""
+    up, down = _power_tables(len(values) + 1)
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * up[: len(values)], out=sums[1:])
+    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+
+
 def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     """A hash of each run of n words."""
     if len(words) < n:

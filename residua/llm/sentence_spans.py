@@ -6,53 +6,63 @@ covers whose first occurrence is elsewhere are removed.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from residua.llm._common import chunks, text_or_empty
+from residua.llm._common import chunks, durable, flat, mix, text_or_empty
 from residua.llm._spans import remove_runs
+from residua.llm._words import range_hashes, spaced_words
 
-#: A run has at least so many sentences and so many words.
+#: A run has at least so many sentences and so many words. A sentence counts once for each so many words.
 SENTENCES, WORDS = 2, 20
-#: A sentence of more words counts as several, cut after each so many words, so that text without stops has runs too.
-LONGEST = 20
-_SENTENCE = re.compile(r"[^\s][^\n.!?]*(?:[.!?]+(?!\s|$)[^\n.!?]*)*[.!?]*")
-_WORD = re.compile(r"\S+")
-
-
-def sentences(text: str) -> list[tuple[int, int]]:
-    """[start, end) of each sentence: up to stops before white space, to a line's end, or to the longest number of words."""
-    out = []
-    for m in _SENTENCE.finditer(text):
-        a, b = m.span()
-        if b - a > 2 * LONGEST and m.group().count(" ") >= LONGEST:
-            words = [w.start() for w in _WORD.finditer(text, a, b)]
-            starts = words[::LONGEST]
-            out += zip(starts, [*starts[1:], b])
-        else:
-            out.append((a, b))
-    return out
-
-
-def runs(text: str, least_sentences: int = SENTENCES, least_words: int = WORDS) -> list[tuple[bytes, int, int]]:
-    """(hash, first sentence, end) of the run from each sentence: the shortest one with enough sentences and words. Case and white space don't count."""
-    words = [text[a:b].lower().split() for a, b in sentences(text)]
-    each, sizes = [xxhash.xxh3_128_digest(" ".join(w).encode("utf-8", "surrogatepass")) for w in words], list(map(len, words))
-    out, end, held = [], 0, 0
-    for start in range(len(each)):
-        while end < len(each) and (end - start < least_sentences or held < least_words):
-            held, end = held + sizes[end], end + 1
-        if end - start < least_sentences or held < least_words:
-            break
-        out.append((xxhash.xxh3_128_digest(b"".join(each[start:end])), start, end))
-        held -= sizes[start]
-    return out
+#: A sentence of more words is cut after words whose hash is divisible by CUT, wherever it began, so that text without stops
+#: has runs too and pieces meet again behind an edit.
+LONGEST, CUT = 12, 5
+_STOP = np.zeros(256, bool)
+_STOP[[ord(c) for c in ".!?"]] = True
+
+
+def sentences(data: np.ndarray, offsets: np.ndarray):
+    """Of flat texts: (first byte of each word, hash of each word, first word and end word of each sentence, offsets of the texts in the sentences).
+
+    A sentence ends at a word that ends with a stop, at a line's end, or at the text's end; long ones come in pieces.
+    """
+    start, end, hashes, bounds = spaced_words(data, offsets)
+    if not len(start):
+        return start, hashes, start, start, np.zeros(len(offsets), np.int64)
+    last = _STOP[data[end - 1]]
+    feeds = np.concatenate([[0], np.cumsum(data == 10)])
+    last[:-1] |= feeds[start[1:]] > feeds[end[:-1]]
+    last[bounds[1:][np.diff(bounds) > 0] - 1] = True
+    number = np.cumsum(last) - last
+    last |= (np.bincount(number)[number] > LONGEST) & (hashes % np.uint64(CUT) == 0)
+    stop = np.flatnonzero(last) + 1
+    first = np.concatenate([[0], stop[:-1]])
+    return start, hashes, first, stop, np.searchsorted(first, bounds)
+
+
+def parts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First byte of each sentence, and the texts' offsets in the sentences."""
+    start, _, first, _, bounds = sentences(data, offsets)
+    return start[first], bounds
+
+
+def runs(data: np.ndarray, offsets: np.ndarray, least_sentences: int = SENTENCES, least_words: int = WORDS):
+    """(text, first sentence, end sentence, hash of 2 x 64 bits) of the run from each sentence: the shortest one with enough sentences and words. Case of A-Z and white space don't count."""
+    _, hashes, first, stop, bounds = sentences(data, offsets)
+    units = np.maximum(1, (stop - first) // WORDS)
+    total = np.cumsum(units)
+    end = 1 + np.maximum(np.searchsorted(stop, first + least_words), np.searchsorted(total, total - units + least_sentences))
+    text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    own = np.flatnonzero(end <= bounds[text + 1])
+    text, end = text[own], end[own]
+    words = first[own], stop[end - 1]
+    h1, h2 = range_hashes(hashes, *words), range_hashes(mix(hashes + np.uint64(1)), *words)
+    return text, own - bounds[text], end - bounds[text], h1, h2
 
 
 def span_hashes(docs: DataFrame, id_col: str, text_col: str, least_sentences: int, least_words: int) -> DataFrame:
@@ -60,12 +70,9 @@ def span_hashes(docs: DataFrame, id_col: str, text_col: str, least_sentences: in
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, "text"):
-            found = [runs(t, least_sentences, least_words) for t in part.column("text").to_pylist()]
-            sizes = [len(f) for f in found]
-            hashes = np.frombuffer(b"".join(h for f in found for h, _, _ in f), dtype=np.int64).reshape(-1, 2)
-            numbers = np.array([x[1:] for f in found for x in f], dtype=np.int32).reshape(-1, 2)
-            ids = np.repeat(part.column("id").to_numpy(zero_copy_only=False), sizes)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in (*hashes.T, ids, *numbers.T)], ["h1", "h2", "id", "start", "end"])
+            text, start, end, h1, h2 = runs(*flat(part.column("text")), least_sentences, least_words)
+            ids = part.column("id").take(pa.array(text))
+            yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), ids, pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], ["h1", "h2", "id", "start", "end"])
 
     rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
     return rows.mapInArrow(work, "h1 long, h2 long, id long, start int, end int")
@@ -83,7 +90,11 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
     """
     each = span_hashes(docs, id_col, text_col, least_sentences, least_words)
     where = F.struct("id", "start")
-    # Partial counts by hash before the shuffle make a run that everyone has a few rows; the join's hot keys are split by AQE.
-    repeated = each.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(where).alias("first")).where("n > 1")
-    later = each.join(repeated, ["h1", "h2"]).where(where > F.col("first")).select("id", "start", "end")
-    return remove_runs(docs, later, sentences, id_col, text_col)
+    # Half of the hash tells most runs of no repeat apart, in the narrowest rows; counts are partial before the shuffle, so
+    # a run that everyone has is a few rows. What is left is kept as a table. Joins have a shuffle on both sides: AQE splits
+    # their hot keys.
+    shared = durable(each.groupBy("h1").agg(F.count("*").alias("n")).where("n > 1").select("h1"))
+    near = durable(each.join(shared, "h1", "left_semi"))
+    repeated = durable(near.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(where).alias("first")).where("n > 1").drop("n"))
+    later = near.join(repeated, ["h1", "h2"]).where(where > F.col("first")).select("id", "start", "end")
+    return remove_runs(docs, later, parts, id_col, text_col)

@@ -1,11 +1,16 @@
 import random
+import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from residua.llm import line_dedup, sentence_spans
+from residua.llm._common import flat
 from residua.llm._spans import cut, merged
-from residua.llm.line_dedup import line_hashes, lines, winnow
-from residua.llm.sentence_spans import runs, sentences
+from residua.llm._words import spaced_words
+from residua.llm.line_dedup import winnow
+from residua.llm.sentence_spans import CUT, LONGEST
 
 SCHEMA = "doc_id long, text string, id string, start int, `end` int, h1 string, run string"
 
@@ -25,31 +30,81 @@ def corpus(line_based):
     return [(i, t, "a", 1, 2, "b", "c") for i, t in rows] + [(None, rows[1][1], None, None, None, None, None)]
 
 
+def words_of(text):
+    return [(m.start(), m.end()) for m in re.finditer(r"[^ \t-\r]+", text)]
+
+
+def plain(text, a, b):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text[a:b])
+
+
+def hash_of(word):
+    return int(spaced_words(*flat(pa.array([word])))[2][0])
+
+
+def sentences(text):
+    """Lists of (start, end, word): the sentences of a text, in plain Python."""
+    out, now = [], []
+    words = words_of(text)
+    for k, (a, b) in enumerate(words):
+        now.append((a, b, plain(text, a, b)))
+        if text[b - 1] in ".!?" or k + 1 == len(words) or "\n" in text[b : words[k + 1][0]]:
+            pieces = [[]]
+            for w in now:
+                pieces[-1].append(w)
+                if len(now) > LONGEST and hash_of(w[2]) % CUT == 0:
+                    pieces.append([])
+            out += [p for p in pieces if p]
+            now = []
+    return out
+
+
+def sentence_runs(text):
+    own, out = sentences(text), []
+    for s in range(len(own)):
+        for e in range(s + 1, len(own) + 1):
+            if sum(map(len, own[s:e])) >= 20 and sum(max(1, len(p) // 20) for p in own[s:e]) >= 2:
+                out.append((tuple(w for p in own[s:e] for _, _, w in p), s, e))
+                break
+    return out
+
+
+def lines(text):
+    out, words = [], words_of(text)
+    for k, (a, b) in enumerate(words):
+        if not k or "\n" in text[words[k - 1][1] : a]:
+            out.append([])
+        out[-1].append((a, b, plain(text, a, b)))
+    return out
+
+
+def line_runs(text):
+    own = [tuple(w for _, _, w in line) for line in lines(text)]
+    return [(tuple(own[k : k + 3]), k, k + 3) for k in range(len(own) - 2)]
+
+
 def brute(rows, parts, keys):
     """keys(text): (key, start, end) of each run; removes what later runs cover."""
-    seen = {}
-    texts = sorted({(r[0], r[1]) for r in rows if r[0] is not None and r[1] is not None})
-    for i, t in texts:
-        for key, a, _ in keys(t):
+    seen, runs = {}, {}
+    for i, t in {(r[0], r[1]) for r in rows if r[0] is not None and r[1] is not None}:
+        runs[i] = keys(t)
+        for key, a, _ in runs[i]:
             seen[key] = min(seen.get(key, (i, a)), (i, a))
     out = []
     for i, t, *_ in rows:
-        gone = [(a, b) for key, a, b in keys(t) if seen[key] != (i, a)] if i is not None and t is not None else []
-        new, n, _ = cut(t, parts(t), gone) if gone else (t, 0, [])
-        out.append((i, new, len(parts(t or "")), n))
+        own = parts(t or "")
+        starts = [p[0][0] for p in own] + [len(t or "")]
+        gone = {k for key, a, b in runs.get(i, []) if seen[key] != (i, a) for k in range(a, b)}
+        new = t if t is None else t[: starts[0]] + "".join(t[starts[k] : starts[k + 1]] for k in range(len(own)) if k not in gone)
+        out.append((i, new, len(own), len(gone), sum(starts[k + 1] - starts[k] for k in gone)))
     return sorted(out, key=str)
 
 
-def plain_line_runs(text):
-    h = line_hashes(text).tolist()
-    return [(tuple(h[k : k + 3]), k, k + 3) for k in range(len(h) - 2)]
-
-
-@pytest.mark.parametrize("module,line_based,parts,keys", [(sentence_spans, False, sentences, runs), (line_dedup, True, lines, plain_line_runs)])
+@pytest.mark.parametrize("module,line_based,parts,keys", [(sentence_spans, False, sentences, sentence_runs), (line_dedup, True, lines, line_runs)])
 def test_against_brute_force(spark, module, line_based, parts, keys):
     rows = corpus(line_based)
     got = module.dedup(spark.createDataFrame(rows, SCHEMA))
-    found = got.select("doc_id", "text", "__parts", "__removed").collect()
+    found = got.selectExpr("doc_id", "text", "__parts", "__removed", "aggregate(__spans, 0, (a, s) -> a + s.end - s.start)").collect()
     want = brute(rows, parts, keys)
     assert sorted(map(tuple, found), key=str) == want
     assert sum(w[3] for w in want) > 100 and "run" in got.columns
@@ -61,19 +116,25 @@ def test_every_shared_run_has_a_shared_fingerprint():
     for _ in range(50):
         line = lambda: str(draw.randrange(10**6))
         common = [line() for _ in range(draw.randint(3, 9))]
-        a, b = ([*[line() for _ in range(draw.randrange(5))], *common, *[line() for _ in range(draw.randrange(5))]] for _ in range(2))
-        hashes = [line_hashes("\n".join(x)) for x in (a, b)]
-        picks = [{int(h[k]) for k in winnow(h)} for h in hashes]
-        assert picks[0] & picks[1] & {int(x) for x in line_hashes("\n".join(common))}
+        texts = ["\n".join([*[line() for _ in range(draw.randrange(5))], *common, *[line() for _ in range(draw.randrange(5))]]) for _ in range(2)]
+        _, hashes, bounds = line_dedup.lines(*flat(pa.array([*texts, "\n".join(common)])))
+        own = [hashes[a:b] for a, b in zip(bounds, bounds[1:])]
+        picks = [{int(h[k]) for k in winnow(h)} for h in own[:2]]
+        assert picks[0] & picks[1] & set(own[2].tolist())
+
+
+def test_winnow_takes_the_last_of_equal_minima():
+    assert winnow(np.array([3, 1, 1, 2, 5, 4, 9], np.uint64)).tolist() == [2, 3, 5]
+    assert winnow(np.array([1, 2], np.uint64)).tolist() == []
 
 
 def test_pieces():
     assert merged([(5, 6), (0, 2), (1, 3)]) == [(0, 3), (5, 6)]
-    text = "One a. Two b! Three v1.2 c\n\n Four"
-    assert [text[a:b] for a, b in sentences(text)] == ["One a.", "Two b!", "Three v1.2 c", "Four"]
-    assert cut(text, sentences(text), [(1, 3)])[0] == "One a. Four"
-    assert [b - a for a, b in sentences(" ".join(["w"] * 50))] == [40, 40, 19]
-    assert [t for t in (text[a:b] for a, b in lines(text))] == ["One a. Two b! Three v1.2 c", " Four"]
+    assert cut(b"One a. Two b! Three v1.2 c  Four", [0, 7, 14, 28], [(1, 3)])[:2] == (b"One a. Four", 2)
+    words = [f"w{k}" for k in range(200)]
+    texts = [" ".join(words[k:]) for k in (0, 1)]
+    first, bounds = sentence_spans.parts(*flat(pa.array(texts)))
+    assert bounds[1] > 15 and (first[: bounds[1]][1:] - len(texts[0]) + len(texts[1])).tolist()[-15:] == (first[bounds[1] :] - len(texts[0])).tolist()[-15:]
 
 
 def test_a_passage_across_documents_goes_but_once(spark):
