@@ -24,7 +24,6 @@ from residua.llm._common import CHUNK_BYTES, mix, text_or_empty
 SKETCH = 64
 #: Levels whose phrases are in a fingerprint: about 12 and 40 bytes long.
 LEVELS = (2, 3)
-_ONE, _TWO = np.uint64(1), np.uint64(2)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -34,32 +33,43 @@ def _toss(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
     before[1:] = x[:-1]
     before[starts] = 0
     d = x ^ before
-    low = d & (~d + _ONE)
-    return _TWO * np.bitwise_count(low - _ONE).astype(np.uint64) + ((x & low) != 0)
+    low = d & (~d + x.dtype.type(1))
+    label = np.bitwise_count(low - x.dtype.type(1))
+    label <<= 1
+    label += (x & low) != 0
+    return label
 
 
 def phrase_level(names: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Names of the phrases of each text, given the names of its symbols; offsets are those of n texts, none of them empty."""
+    """Names of the phrases of each text, given the names of its symbols (of 8 or 64 bits, none of them 0); offsets are those of n texts, none of them empty."""
     n, starts = len(names), offsets[:-1]
     fresh = np.empty(n, bool)
     fresh[0] = True
     np.not_equal(names[1:], names[:-1], out=fresh[1:])
     fresh[starts] = True
     at = np.flatnonzero(fresh)  # a run of one symbol is one symbol
+    symbols, named = names[at], names[at].astype(np.uint64)
     if len(at) < n:
         length = np.diff(np.append(at, n)).astype(np.uint64)
-        names = np.where(length == 1, names[at], mix(names[at] + length * _STEP))
+        long = np.flatnonzero(length > 1)
+        named[long] = mix(named[long] + length[long] * _STEP)
         starts = np.searchsorted(at, starts)
         n = len(at)
-    label = _toss(_toss(_toss(names, starts), starts), starts).astype(np.int8)
+    label = _toss(_toss(_toss(symbols, starts), starts), starts)
     peak = np.zeros(n, bool)
     peak[1:-1] = (label[1:-1] > label[:-2]) & (label[1:-1] >= label[2:])
     peak[np.append(starts[1:] - 1, n - 1)] = False  # the last symbol of a text doesn't stand alone
     peak[starts] = True
     at = np.flatnonzero(peak)
-    inside = np.arange(n) - np.repeat(at, np.diff(np.append(at, n)))
-    named = mix(np.add.reduceat(mix(names + inside.astype(np.uint64) * _STEP), at))
-    return named, np.append(np.searchsorted(at, starts), len(at))
+    inside = np.arange(n, dtype=np.uint64) - np.repeat(at, np.diff(np.append(at, n))).astype(np.uint64)
+    # A hash of each symbol and its place in the phrase; a phrase's name is the hash of their sum.
+    inside *= _STEP
+    named += inside
+    named *= np.uint64(0xBF58476D1CE4E5B9)
+    named ^= named >> np.uint64(32)
+    named *= np.uint64(0x94D049BB133111EB)
+    named ^= named >> np.uint64(29)
+    return mix(np.add.reduceat(named, at)), np.append(np.searchsorted(at, starts), len(at))
 
 
 def sketches(texts: Sequence[str], levels: Sequence[int] = LEVELS, size: int = SKETCH) -> list[np.ndarray]:
@@ -69,7 +79,7 @@ def sketches(texts: Sequence[str], levels: Sequence[int] = LEVELS, size: int = S
     out = [np.zeros(0, np.uint32)] * len(texts)
     if not filled:
         return out
-    names = np.frombuffer(b"".join(data), dtype=np.uint8).astype(np.uint64) + _ONE
+    names = np.frombuffer(b"".join(data), dtype=np.uint8) + np.uint8(1)
     offsets = np.concatenate([[0], np.cumsum([len(data[i]) for i in filled])])
     kept = []
     for level in range(1, max(levels) + 1):
@@ -77,7 +87,8 @@ def sketches(texts: Sequence[str], levels: Sequence[int] = LEVELS, size: int = S
         if level in levels:
             text = np.repeat(np.arange(len(filled), dtype=np.uint64), np.diff(offsets))
             kept.append(text << np.uint64(32) | mix(names + np.uint64(level)) >> np.uint64(32))
-    keys = np.unique(np.concatenate(kept))
+    keys = np.sort(np.concatenate(kept))
+    keys = keys[np.append(True, keys[1:] != keys[:-1])]
     bounds = np.searchsorted(keys, np.arange(len(filled) + 1, dtype=np.uint64) << np.uint64(32))
     for k, i in enumerate(filled):
         out[i] = keys[bounds[k] : min(bounds[k + 1], bounds[k] + size)].astype(np.uint32)
@@ -88,9 +99,10 @@ def likeness(a: np.ndarray, b: np.ndarray, size: int = SKETCH) -> float:
     """Estimated share of phrases that two texts have in common (Dice coefficient, 0 to 1) from their sketches; two empty texts are alike."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
-    union = np.union1d(a, b)[:size]
-    shared = np.isin(union, a, assume_unique=True) & np.isin(union, b, assume_unique=True)
-    j = shared.sum() / len(union)
+    both = np.sort(np.concatenate([a, b]))
+    again = both[1:] == both[:-1]
+    rank = np.arange(1, len(both)) - np.cumsum(again)  # in the union, of all but the first
+    j = np.count_nonzero(again & (rank < size)) / min(size, len(both) - np.count_nonzero(again))
     return float(2 * j / (1 + j))
 
 
@@ -107,7 +119,7 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             out = []
             while at < len(texts):
                 end, held = at, 0
-                while end < len(texts) and (end == at or held < CHUNK_BYTES // 2):
+                while end < len(texts) and (end == at or held < CHUNK_BYTES // 8):
                     held, end = held + len(texts[end]), end + 1
                 out += map(as_text, sketches(texts[at:end]))
                 at = end
@@ -167,7 +179,7 @@ def edited_and_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             columns = [batch.column(c) for c in ("bucket", "ahead", "doc_id", "text")]
             for k in range(batch.num_rows):
                 b, ahead, i, text = (c[k].as_py() for c in columns)
-                if held and (b != bucket or ahead or size >= CHUNK_BYTES // 4):
+                if held and (b != bucket or ahead or size >= CHUNK_BYTES // 8):
                     if b == bucket:
                         yield rows(held, text)
                         held, size = [], 0

@@ -42,12 +42,12 @@ def test_equal_substrings_share_interior_phrases():
     a, b = prose(draw, 701) + middle + prose(draw, 300), prose(draw, 64) + middle
     names = []
     for t in (a, b):
-        x, o = np.frombuffer(t.encode(), np.uint8).astype(np.uint64) + np.uint64(1), None
+        x, o = np.frombuffer(t.encode(), np.uint8) + np.uint8(1), None
         o = np.array([0, len(x)])
         for _ in range(2):
             x, o = phrase_level(x, o)
         names.append(set(x.tolist()))
-    alone = np.frombuffer(middle.encode(), np.uint8).astype(np.uint64) + np.uint64(1)
+    alone = np.frombuffer(middle.encode(), np.uint8) + np.uint8(1)
     o = np.array([0, len(alone)])
     for _ in range(2):
         alone, o = phrase_level(alone, o)
@@ -65,6 +65,11 @@ def test_likeness_follows_the_shared_part():
         far.append(likeness(sa, sb))
         assert likeness(sa, sa) == 1
     assert 0.6 < np.mean(near) < 0.85 and min(near) > 0.4 and max(far) < 0.1
+    for _ in range(200):
+        a, b = (np.unique(np.array([draw.randrange(300) for _ in range(draw.randint(1, 90))], np.uint32))[:64] for _ in range(2))
+        union = sorted({*a.tolist(), *b.tolist()})[:64]
+        j = sum(x in a and x in b for x in union) / len(union)
+        assert likeness(a, b) == 2 * j / (1 + j)
     assert likeness(*sketches(["", ""])) == 1 and likeness(*sketches(["", "a"])) == 0
 
 
