@@ -11,30 +11,33 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from residua.llm._common import chunks, text_or_empty
+from residua.llm._common import chunks, durable, flat, text_or_empty
 from residua.llm._spans import remove_runs
+from residua.llm._words import range_hashes, spaced_words
 
 #: Lines of the shortest run that is deleted; also the winnowing window, so every such run has a fingerprint.
 WINDOW = 3
 
 
-def lines(text: str) -> list[tuple[int, int]]:
-    """[start, end) of each line that isn't blank."""
-    out, at = [], 0
-    for line in text.split("\n"):
-        if line.strip():
-            out.append((at, at + len(line)))
-        at += len(line) + 1
-    return out
+def lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of flat texts: first byte and hash of each line that isn't blank, and the texts' offsets in the lines. White space at a line's ends and the amount inside don't count."""
+    start, end, hashes, bounds = spaced_words(data, offsets)
+    if not len(start):
+        return start, hashes, np.zeros(len(offsets), np.int64)
+    feeds = np.concatenate([[0], np.cumsum(data == 10)])
+    fresh = np.ones(len(start), bool)
+    fresh[1:] = feeds[start[1:]] > feeds[end[:-1]]
+    fresh[bounds[:-1][np.diff(bounds) > 0]] = True
+    first = np.flatnonzero(fresh)
+    return start[first], range_hashes(hashes, first, np.append(first[1:], len(start))), np.searchsorted(first, bounds)
 
 
-def line_hashes(text: str) -> np.ndarray:
-    """XXH64 of each line that isn't blank; white space at its ends and the amount inside don't count."""
-    return np.array([xxhash.xxh64_intdigest(" ".join(words).encode("utf-8", "surrogatepass")) for line in text.split("\n") if (words := line.split())], dtype=np.uint64)
+def parts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    first, _, bounds = lines(data, offsets)
+    return first, bounds
 
 
 def winnow(hashes: np.ndarray, window: int = WINDOW) -> np.ndarray:
@@ -46,14 +49,15 @@ def winnow(hashes: np.ndarray, window: int = WINDOW) -> np.ndarray:
 
 
 def anchors(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
-    """Rows (hash, id, at, around): each selected line with its place and the hashes from window - 1 lines before to as many after; 'from' is the place of the first of those."""
+    """Rows (hash, id, low, around): each selected line and the hashes from window - 1 lines before to as many after; low is the place of the first of those."""
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.int64())
         for part in chunks(batches, "text"):
             rows = ([], [], [], [])
-            for i, text in zip(part.column("id").to_pylist(), part.column("text").to_pylist()):
-                hashes = line_hashes(text)
+            _, all_hashes, bounds = lines(*flat(part.column("text")))
+            for i, a, b in zip(part.column("id").to_pylist(), bounds, bounds[1:]):
+                hashes = all_hashes[a:b]
                 signed = hashes.view(np.int64)
                 for k in winnow(hashes, window).tolist():
                     low = max(k - window + 1, 0)
@@ -74,14 +78,15 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     Nulls: a null text stays null; rows without id are not read for runs and stay as they are. Repeated rows of one
     doc_id are one document. Other columns are kept, whatever their names (but for the three added).
     """
-    found = anchors(docs, id_col, text_col, window)
-    # A selected line counts once for each place; hot lines are summed before the shuffle.
-    shared = found.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
+    found = durable(anchors(docs, id_col, text_col, window))
+    # Hot lines are summed before the shuffle. Sums are kept as tables, so that joins have a shuffle on both sides and AQE
+    # can split their hot keys.
+    shared = durable(found.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"))
     near = found.join(shared, "hash", "left_semi")
     steps = F.sequence(F.lit(0), F.size("around") - window)
     run = F.transform(steps, lambda s: F.struct(F.slice("around", s + 1, window).alias("run"), (F.col("low") + s).alias("start")))
-    runs = near.select("id", F.inline(run)).distinct()
+    runs = durable(near.select("id", F.inline(run)).distinct())
     where = F.struct("id", "start")
-    repeated = runs.groupBy("run").agg(F.count("*").alias("n"), F.min(where).alias("first")).where("n > 1").drop("n")
+    repeated = durable(runs.groupBy("run").agg(F.count("*").alias("n"), F.min(where).alias("first")).where("n > 1").drop("n"))
     later = runs.join(repeated, "run").where(where > F.col("first")).select("id", "start", (F.col("start") + window).alias("end"))
-    return remove_runs(docs, later, lines, id_col, text_col)
+    return remove_runs(docs, later, parts, id_col, text_col)
