@@ -159,13 +159,17 @@ def run(spark: SparkSession, spec: EmbedSpec, sequences: DataFrame | None = None
     sequences = sequences if sequences is not None else read_fasta(spark, spec.fasta_path)
     if table is None and "substring_pooled" in resolved.outputs:
         table = read_substrings(spark, spec.substring_path)
-    root, work = f"{spec.output_path}/{model_of(spec)}", f"{spec.output_path}/{model_of(spec)}/_encoded"
+    root = f"{spec.output_path}/{model_of(spec)}"
+    parsed, work = f"{root}/_sequences", f"{root}/_encoded"
+    sequences.write.mode("overwrite").parquet(parsed)  # parsed once, read by the checks and by the encoding
+    sequences = spark.read.parquet(parsed)
     if table is not None:
         substrings.require_complete(sequences, table)
     checked = tokenise(sequences, vocabulary, False)
     require_valid(checked, vocabulary, limit=choose(spec.model_name).length_limit)
-    encode_table(sequences, vocabulary, spec, table).write.mode("overwrite").parquet(work)
-    encoded = spark.read.parquet(work)
+    sliced = F.floor(F.col("ord") / spec.commit_rows).cast("long")
+    encode_table(sequences, vocabulary, spec, table).withColumn("slice", sliced).write.mode("overwrite").partitionBy("slice").parquet(work)  # a slice reads its own files alone
+    encoded = spark.read.schema("ord long, sequence_id string, input_ids array<int>, pooling_mask array<boolean>, substring_mask array<boolean>, slice long").parquet(work)
     n = encoded.count()
     length = max_length(spec.max_length, longest(encoded))
     fingerprint = encoded.agg(F.sum(F.xxhash64("ord", "sequence_id", "input_ids", "substring_mask").cast("decimal(38,0)")).alias("x")).first()["x"]
@@ -179,7 +183,7 @@ def run(spark: SparkSession, spec: EmbedSpec, sequences: DataFrame | None = None
     # One row for each slice: bounded by rows / commit_rows.
     todo = sorted((r["start"], r["end"]) for r in ranges.pending(wanted, done).select("start", "end").distinct().collect())
     for start, end in todo:
-        part = encoded.where(F.col("ord").between(start, end - 1)).repartition(spec.num_workers)
+        part = (encoded.where(F.col("slice") == start // step) if spec.streaming_output else encoded).drop("slice").repartition(spec.num_workers)
         made = represent(part, encoder, resolved, spec, vocabulary.pad_id, length)
         sink.write_parquet(made, f"{where}/slice={start}", "overwrite", spec.flush_batches_after)
         sink.record_ranges(spark, progress, resolved.keys, start, end)
@@ -192,6 +196,7 @@ def run(spark: SparkSession, spec: EmbedSpec, sequences: DataFrame | None = None
             sink.export_npy(made.where(F.col("output_type") == what), f"{local}/{model_of(spec)}/{what}", experiment(spec), model_of(spec), n, dtype_of(spec.precision), spec.flatten and not what.endswith("pooled"))
     sink.remove(spark, progress)
     sink.remove(spark, work)
+    sink.remove(spark, parsed)
     return where
 
 
