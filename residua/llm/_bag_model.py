@@ -13,7 +13,7 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def train(bags: Sequence[Bag], labels: np.ndarray, buckets: int, dim: int = 8, epochs: int = 15, batch: int = 64, speed: float = 8.0, least_texts: int = 5, seed: int = 0) -> tuple[np.ndarray, float]:
+def train(bags: Sequence[Bag], labels: np.ndarray, buckets: int, dim: int = 8, epochs: int = 12, batch: int = 64, speed: float = 8.0, least_texts: int = 5, seed: int = 0) -> tuple[np.ndarray, float]:
     """Weights of buckets and a bias: bias + sum of shares * weights is the log-odds of label 1.
 
     Weights are the products of the buckets' embeddings with the difference of the softmax's two rows. Steps are plain

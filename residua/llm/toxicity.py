@@ -20,7 +20,7 @@ from residua.llm._bag_model import sigmoid, train
 from residua.llm._common import chunks, text_or_empty
 
 #: The bounds of the labelled sample: rows, and code points of their texts together. It is taken in the order of a hash of doc_id; texts are used whole.
-SAMPLE_ROWS, SAMPLE_CHARS = 5000, 14_000_000
+SAMPLE_ROWS, SAMPLE_CHARS = 8000, 24_000_000
 #: Neutral n-grams that each text's average has besides its own, so a short text needs more than one odd n-gram.
 PRIOR = 1500
 BITS = 18
