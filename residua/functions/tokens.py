@@ -24,10 +24,20 @@ def gap(tokens: Column) -> Column:
 
 
 def encode(tokens: Column, vocabulary: Vocabulary) -> Column:
-    """Token ids; a token outside the vocabulary gets the unknown token's id (null without one)."""
+    """Token ids; a token outside the vocabulary gets the unknown token's id (null without one).
+
+    One ASCII character is looked up by its code in an array, other tokens in a map: a map literal is searched key by key.
+    """
     ids, unk = vocabulary.as_map(), vocabulary.id_of(vocabulary.unk)
+    spell = str.upper if vocabulary.upper else str
+    codes = F.array(*[F.lit(vocabulary.ids.get(spell(chr(c)), vocabulary.ids.get(chr(c)))).cast("int") for c in range(128)])
     key = F.upper if vocabulary.upper else lambda t: t
-    return F.transform(tokens, lambda t: F.coalesce(F.try_element_at(ids, key(t)), F.try_element_at(ids, t), F.lit(unk).cast("int")))
+
+    def lookup(t: Column) -> Column:
+        plain = (F.length(t) == 1) & (F.ascii(t) < 128)
+        return F.coalesce(F.when(plain, F.get(codes, F.ascii(t))).otherwise(F.coalesce(F.try_element_at(ids, key(t)), F.try_element_at(ids, t))), F.lit(unk).cast("int"))
+
+    return F.transform(tokens, lookup)
 
 
 def unknown_tokens(tokens: Column, vocabulary: Vocabulary) -> Column:
