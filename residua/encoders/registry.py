@@ -39,12 +39,12 @@ class Choice:
 
 
 def choose(name: str) -> Choice:
-    """The kind of a model by its name: synthetic[:layers,heads,width], a path (custom: before it, a suffix, or a folder that begins with / or .), an ESM name, or user/name."""
+    """The kind of a model by its name: synthetic[:layers,heads,width], a path (custom: before it, a suffix, a folder that begins with / or ., or a path of three parts), an ESM name, or user/name."""
     if name.startswith("synthetic"):
         return Choice("synthetic", name.partition(":")[2])
     if name.startswith("custom:"):
         return Choice("custom", name.removeprefix("custom:"))
-    if re.search(r"\.(pt|pth|npz)$", name) or re.match(r"[./]|[a-z0-9+]+://", name):
+    if re.search(r"\.(pt|pth|npz)$", name) or re.match(r"[./]|[a-z0-9+]+://", name) or name.count("/") > 1:
         return Choice("custom", name)
     if re.search("esm[12]", name.lower()):
         return Choice("esm", name)

@@ -15,13 +15,38 @@ def layer_norm(x: np.ndarray, weight: np.ndarray, bias: np.ndarray, eps: float =
     return centred / np.sqrt((centred * centred).mean(axis=-1, keepdims=True) + eps) * weight + bias
 
 
+# Parts of the names that torch's encoder layers give their weights, and ours.
+TORCH_NAMES = {
+    "token_embedding.weight": "token_embedding",
+    "position_embedding.weight": "position_embedding",
+    "layer_norm.": "norm.",
+    "output_head.": "head.",
+    "transformer.layers.": "layers.",
+    "self_attn.in_proj_": "in.",
+    "self_attn.out_proj.": "out.",
+    "linear1.": "up.",
+    "linear2.": "down.",
+}
+
+
+def own_names(weights: Mapping[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Weights by our names, from ours or torch's."""
+
+    def own(name: str) -> str:
+        for theirs, ours in TORCH_NAMES.items():
+            name = name.replace(theirs, ours)
+        return name
+
+    return {own(k): v for k, v in weights.items()}
+
+
 class NumpyTransformer:
     """Weights are named token_embedding, position_embedding, norm.{weight,bias}, layers.{k}.{in,out,up,down}.{weight,bias}, layers.{k}.{norm1,norm2}.{weight,bias}, head.{weight,bias}; a weight matrix is outputs x inputs, and `in` stacks query, key and value."""
 
     outputs = OUTPUT_TYPES
 
     def __init__(self, weights: Mapping[str, np.ndarray], num_heads: int):
-        self.w = {k: np.asarray(v, np.float32) for k, v in weights.items()}
+        self.w = {k: np.asarray(v, np.float32) for k, v in own_names(weights).items()}
         self.num_heads = num_heads
         self.vocab_size, self.hidden_size = self.w["token_embedding"].shape
         self.num_layers = 1 + max((int(k.split(".")[1]) for k in self.w if k.startswith("layers.")), default=-1)

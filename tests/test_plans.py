@@ -114,7 +114,7 @@ def test_spec_is_checked():
 
 
 def test_model_names():
-    assert [choose(n).kind for n in ("synthetic", "custom:x", "./esm2_dir", "a/b.pt", "esm2_t6_8M_UR50D", "user/name")] == ["synthetic", "custom", "custom", "custom", "esm", "hub"]
+    assert [choose(n).kind for n in ("synthetic", "custom:x", "./esm2_dir", "a/b.pt", "a/esm2/c", "esm2_t6_8M_UR50D", "user/name")] == ["synthetic", "custom", "custom", "custom", "custom", "esm", "hub"]
     assert choose("alchemab/antiberta2").length_limit == 256 and choose(ESM_MODELS[0]).length_limit is None
     with pytest.raises(ValueError):
         choose("nothing")
@@ -229,6 +229,27 @@ def test_custom_weights(spark, tmp_path):
     assert read_outputs(spark, run(spark, EmbedSpec(f"custom:{tmp_path}", str(tmp_path / "o"), str(tmp_path / "in.fasta")))).count() == 5
 
 
+def test_weights_by_torch_names():
+    model = NumpyTransformer.seeded(hidden_size=8, num_layers=2, num_heads=2)
+    names = {"token_embedding": "token_embedding.weight", "position_embedding": "position_embedding.weight", "norm.": "layer_norm.", "head.": "output_head."}
+    parts = {"in.": "self_attn.in_proj_", "out.": "self_attn.out_proj.", "up.": "linear1.", "down.": "linear2."}
+    theirs = {}
+    for k, v in model.w.items():
+        if k.startswith("layers."):
+            head, part = "transformer." + k[:9], k[9:]
+            theirs[head + next((t + part.removeprefix(o) for o, t in parts.items() if part.startswith(o)), part)] = v
+        else:
+            theirs[next(t + k.removeprefix(o) for o, t in names.items() if k.startswith(o))] = v
+    assert "transformer.layers.1.self_attn.in_proj_weight" in theirs
+    other, ids = NumpyTransformer(theirs, 2), np.array([[1, 4, 9, 2]])
+    np.testing.assert_array_equal(other(ids, ids > 0, Wanted((2,))).hidden[2], model(ids, ids > 0, Wanted((2,))).hidden[2])
+
+
+def test_lookup_encoder():
+    out = LookupEncoder(np.arange(8).reshape(4, 2))(np.array([[1, 9, 3]]), np.ones((1, 3), bool), Wanted((0, 1)))
+    assert out.hidden[1][0].tolist() == [[2, 3], [0, 0], [6, 7]]
+
+
 def test_command_line():
     spec = cli.to_spec("--model_name synthetic --fasta_path a.fasta --output_path o --layers all --extract_embeddings per_token logits --flatten true --max_length 300 --streaming_output no --precision half --discard_padding".split())
     assert spec.layers is None and spec.extract == ("per_token", "logits") and spec.flatten and spec.max_length == "300" and not spec.streaming_output and spec.discard_padding
