@@ -13,12 +13,13 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def train(bags: Sequence[Bag], labels: np.ndarray, buckets: int, dim: int = 8, epochs: int = 12, batch: int = 64, speed: float = 8.0, least_texts: int = 5, seed: int = 0) -> tuple[np.ndarray, float]:
+def train(bags: list[Bag], labels: np.ndarray, buckets: int, dim: int = 8, epochs: int = 12, batch: int = 64, speed: float = 8.0, least_texts: int = 5, seed: int = 0) -> tuple[np.ndarray, float]:
     """Weights of buckets and a bias: bias + sum of shares * weights is the log-odds of label 1.
 
     Weights are the products of the buckets' embeddings with the difference of the softmax's two rows. Steps are plain
     stochastic descent: buckets of few texts then learn little and don't memorise them; those under least_texts don't
-    learn. Deterministic for the same bags in the same order. Without two classes the weights are 0.
+    learn and leave the list of bags, in place. Deterministic for the same bags in the same order. Without two classes the
+    weights are 0.
     """
     labels = np.asarray(labels, dtype=np.int64)
     prior = (labels.sum() + 0.5) / (len(labels) + 1)
@@ -26,7 +27,9 @@ def train(bags: Sequence[Bag], labels: np.ndarray, buckets: int, dim: int = 8, e
     seen = np.zeros(buckets, np.int64)
     for at, _ in bags:
         seen[at] += 1
-    bags = [(at[m], v[m]) if not (m := seen[at] >= least_texts).all() else (at, v) for at, v in bags]
+    for i, (at, share) in enumerate(bags):
+        if not (known := seen[at] >= least_texts).all():
+            bags[i] = at[known], share[known]
     rows = np.array([i for i, (at, _) in enumerate(bags) if len(at)], dtype=np.int64)
     if not len(rows) or len(set(labels[rows])) < 2:
         return np.zeros(buckets, np.float32), bias

@@ -20,7 +20,7 @@ from residua.llm._bag_model import sigmoid, train
 from residua.llm._common import chunks, text_or_empty
 
 #: The bounds of the labelled sample: rows, and code points of their texts together. It is taken in the order of a hash of doc_id; texts are used whole.
-SAMPLE_ROWS, SAMPLE_CHARS = 8000, 24_000_000
+SAMPLE_ROWS, SAMPLE_CHARS = 6000, 18_000_000
 #: Neutral n-grams that each text's average has besides its own, so a short text needs more than one odd n-gram.
 PRIOR = 1500
 BITS = 18
@@ -63,38 +63,22 @@ def in_one_task(sample: DataFrame, work, schema: str) -> list:
     return sample.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), *sample.columns).mapInArrow(work, schema).collect()
 
 
-def bags_of(texts: list[str], steps, prior: float) -> list:
-    """Bags of texts, made from about 1 MB of them at a time."""
-    out, at = [], 0
-    while at < len(texts):
-        end, size = at, 0
-        while end < len(texts) and (end == at or size < 500_000):
-            size, end = size + len(texts[end]), end + 1
-        out += _subwords.bags(steps(pa.array(texts[at:end], pa.large_string())), prior)
-        at = end
-    return out
-
-
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> Model:
     """A model from labels (doc_id, toxic) that are not held out. Conflicting labels of a document count as toxic; labels without document, id or value don't count."""
     given = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~is_held_out())
     given = given.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("label"))
     sample = bounded(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")), given, rows, chars)
 
-    def learn(texts: list[str], labels: list[int]) -> tuple[np.ndarray, float]:
-        bags = bags_of(texts, lambda t: _subwords.ngrams(t, BITS), PRIOR)
-        return train(bags, np.array(labels, np.int64) != 0, 1 << BITS)
-
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts, labels = [], []
-        for batch in batches:
-            texts += batch.column("text").to_pylist()
-            labels += batch.column("label").to_pylist()
-        weights, bias = learn(texts, labels)
+        bags, known = [], []
+        for part in chunks(batches, "text", 400_000):  # texts are let go as soon as their bags are made
+            bags += _subwords.bags(_subwords.ngrams(part.column("text"), BITS), PRIOR)
+            known += part.column("label").to_pylist()
+        weights, bias = train(bags, np.array(known, np.int64) != 0, 1 << BITS)
         yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()]), pa.array([float(bias)])], ["weights", "bias"])
 
     found = in_one_task(sample, work, "weights binary, bias double")
-    return Model(np.frombuffer(found[0]["weights"], np.float32), found[0]["bias"]) if found else Model(*learn([], []))
+    return Model(np.frombuffer(found[0]["weights"], np.float32), found[0]["bias"]) if found else Model(*train([], np.zeros(0), 1 << BITS))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
