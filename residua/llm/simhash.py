@@ -91,8 +91,11 @@ def _sampled(bits: int, rate: float, rows: int, recall: float) -> list[int]:
     """Masks of sampled bit positions, so that a pair whose bits differ at the given rate agrees on one mask with probability `recall`. Longer masks for more rows keep buckets at about 64 rows."""
     length = max(8, math.ceil(math.log2(max(rows, 2) / 64)))
     number = math.ceil(math.log(1 - recall) / math.log(1 - (1 - rate) ** length))
-    draw = random.Random(7)
-    return [sum(1 << b for b in draw.sample(range(bits), length)) for _ in range(number)]
+    draw, masks = random.Random(7), []
+    while len(masks) < number:  # masks of one shuffle share no bit, so a pair seldom misses all of them
+        order = draw.sample(range(bits), bits)
+        masks += [sum(1 << b for b in order[k : k + length]) for k in range(0, bits - length + 1, length)]
+    return masks[:number]
 
 
 def _signed(x: int) -> int:
@@ -285,23 +288,23 @@ def _shingle_sets(docs: DataFrame, id_col: str, text_col: str, words: int) -> Da
     return docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).mapInArrow(run, "id long, shingles array<long>")
 
 
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, recall: float = 0.97) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, recall: float = 0.998) -> DataFrame:
     """The rows of docs without near duplicates: of each group, the row with the smallest doc_id stays.
 
     Documents link if the Jaccard similarity of their sets of word shingles is `similarity` or more. Candidates come from
-    SimHash fingerprints of 128 bits: an index of sampled bits that a pair at the threshold shares with probability
-    `recall` (nearer pairs with more), bit-sliced comparison within a radius two standard deviations above the distance
+    SimHash fingerprints of 256 bits: an index of sampled bits that a pair at the threshold shares with probability
+    `recall` (nearer pairs with more), bit-sliced comparison within a radius three standard deviations above the distance
     expected at the threshold, then the exact similarity of the links that span each bucket. Texts with the same set of
     shingles have one fingerprint and are one document here.
 
     Nulls: a null text is empty, and all texts without words are copies of each other; rows without doc_id stay. Of
     repeated rows one stays. All columns are kept, whatever their names.
     """
-    width, rate = 2, math.acos(2 * similarity / (1 + similarity)) / math.pi
+    width, rate = 4, math.acos(2 * similarity / (1 + similarity)) / math.pi
     bits = 64 * width
-    radius = round(bits * rate + 2 * math.sqrt(bits * rate * (1 - rate)))
+    radius = round(bits * rate + 3 * math.sqrt(bits * rate * (1 - rate)))
     base = durable(fingerprints(docs.where(F.col(id_col).isNotNull()), id_col, text_col, words, width, distinct=True))
-    fps = durable(base.groupBy("w0", "w1").agg(F.min("id").alias("id")))
+    fps = durable(base.groupBy(*[f"w{k}" for k in range(width)]).agg(F.min("id").alias("id")))
     near = links(fps, _sampled(bits, rate, fps.count(), recall), radius, width)
     near = durable(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     wanted = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
