@@ -42,8 +42,8 @@ def remove_runs(docs: DataFrame, runs: DataFrame, parts: Parts, id_col: str, tex
     A document's runs are gathered in one row: they are at most as many as its parts. Texts are moved once, by id.
     """
     run = F.struct(F.col("start"), F.col("end"))
-    of = runs.groupBy(F.col("id").alias("__id")).agg(F.collect_set(run).alias("__runs"))
-    joined = docs.join(of, F.col(id_col).cast("long") == F.col("__id"), "left").drop("__id")
+    of = runs.groupBy(F.col("id").alias("__residua_id")).agg(F.collect_set(run).alias("__residua_runs"))
+    joined = docs.join(of, F.col(id_col).cast("long") == F.col("__residua_id"), "left").drop("__residua_id")
     names = [f.name for f in docs.schema.fields]
     added = {"__parts": "int", "__removed": "int", "__spans": "array<struct<start:int,end:int>>"}
     schema = docs.withColumns({c: F.lit(None).cast(kind) for c, kind in added.items()}).schema
@@ -70,4 +70,4 @@ def remove_runs(docs: DataFrame, runs: DataFrame, parts: Parts, id_col: str, tex
                 columns[at] = pa.array(texts, columns[at].type)
             yield pa.RecordBatch.from_arrays([*columns, pa.array(np.diff(bounds).astype(np.int32)), pa.array(gone), pa.array(spans, kind)], [*names, *added])
 
-    return joined.select(*[F.col(f"`{c}`") for c in names], "__runs").mapInArrow(work, schema)
+    return joined.select(*[F.col(f"`{c}`") for c in names], "__residua_runs").mapInArrow(work, schema)

@@ -31,6 +31,11 @@ def _power_tables(n: int) -> list[np.ndarray]:
     return _powers
 
 
+def forget_tables() -> None:
+    """Drops the tables that were made in this process, so that functions shipped to executors don't carry them along."""
+    _powers.clear()
+
+
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of the texts (runs of letters and digits; bytes above ASCII are letters; case doesn't count) and the n + 1 offsets of the texts in them."""
     lower = pc.utf8_lower(pc.fill_null(texts, "").cast(pa.large_string()))

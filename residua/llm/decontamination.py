@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from residua.llm._common import chunks, text_or_empty
-from residua.llm._words import gram_hashes, word_hashes
+from residua.llm._words import forget_tables, gram_hashes, word_hashes
 
 #: Words in a seed, least score of a copy (1: every word of the item in order), and scores of a match, a mismatch and a gap.
 SEED_WORDS, LEAST_SCORE = 3, 0.6
@@ -138,6 +138,7 @@ def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text"
     for k in range(number):
         own = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(number)) == k).orderBy("id", "text").collect()  # one block, bounded by block_words
         words, offsets = word_hashes(pa.array([r["text"] for r in own], pa.string()))
+        forget_tables()
         parts = [words[a:b] for a, b in zip(offsets, offsets[1:])]
         yield Items(np.array([r["id"] for r, w in zip(own, parts) if len(w)], dtype=np.int64), [w for w in parts if len(w)]).index()
 

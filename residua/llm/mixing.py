@@ -69,14 +69,14 @@ def mix(docs: DataFrame, weights: Mapping[str, float], default_weight: float = 1
     """
     of = rates(docs, weights, default_weight, source_col, total).where("rate > 0")
     first, steps = poisson_steps(F.col("rate"))
-    of = of.select(F.col("source").alias("__source"), first.alias("__first"), steps.alias("__steps"))
+    of = of.select(F.col("source").alias("__residua_source"), first.alias("__residua_first"), steps.alias("__residua_steps"))
     of = F.broadcast(of) if of.count() <= BROADCAST_SOURCES else of
     kept = [c for c in docs.columns if c != copy_name]
     columns = [F.col(f"`{c}`") for c in kept]
-    drawn = docs.withColumn("__u", uniform(seed, F.col(id_col), F.col(text_col))).join(of, F.col(source_col).cast("string").eqNullSafe(F.col("__source")))
-    count = F.col("__first") + F.size(F.filter("__steps", lambda p: p < F.col("__u")))
-    copies = drawn.withColumn("__n", count).where("__n > 0").select(*columns, F.explode(F.expr("sequence(0, __n - 1)")).alias(copy_name))
+    drawn = docs.withColumn("__residua_u", uniform(seed, F.col(id_col), F.col(text_col))).join(of, F.col(source_col).cast("string").eqNullSafe(F.col("__residua_source")))
+    count = F.col("__residua_first") + F.size(F.filter("__residua_steps", lambda p: p < F.col("__residua_u")))
+    copies = drawn.withColumn("__residua_n", count).where("__residua_n > 0").select(*columns, F.explode(F.expr("sequence(0, __residua_n - 1)")).alias(copy_name))
     if not shuffle:
         return copies
     order = F.xxhash64(F.lit(seed), F.col(id_col), F.when(F.col(id_col).isNull(), F.col(text_col)), F.col(copy_name))
-    return copies.withColumn("__order", order).repartition("__order").sortWithinPartitions("__order").drop("__order")
+    return copies.withColumn("__residua_order", order).repartition("__residua_order").sortWithinPartitions("__residua_order").drop("__residua_order")

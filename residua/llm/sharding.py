@@ -66,10 +66,10 @@ def place(docs: DataFrame, shards: Sequence[str], key_col: str = "doc_id", fallb
     # One row per slot: bounded by MOST_SLOTS. Slots stand in a range, shards in two array literals that are folded once.
     numbers = F.split(F.lit(",".join(map(str, table))), ",")
     names = F.array(*[F.lit(s) for s in shards])
-    rows = spark.range(1).select(F.posexplode(numbers).alias("__slot", "__number")).select("__slot", F.element_at(names, F.col("__number").cast("int") + 1).alias("__shard"))
+    rows = spark.range(1).select(F.posexplode(numbers).alias("__residua_slot", "__residua_number")).select("__residua_slot", F.element_at(names, F.col("__residua_number").cast("int") + 1).alias("__residua_shard"))
     kept = [c for c in docs.columns if c not in (slot_name, shard_name)]
-    keyed = docs.withColumn("__slot", slot_of(F.col(key_col), F.col(fallback_col) if fallback_col in docs.columns else F.lit(""), slots))
-    return keyed.join(F.broadcast(rows), "__slot").select(*[F.col(f"`{c}`") for c in kept], F.col("__slot").alias(slot_name), F.col("__shard").alias(shard_name))
+    keyed = docs.withColumn("__residua_slot", slot_of(F.col(key_col), F.col(fallback_col) if fallback_col in docs.columns else F.lit(""), slots))
+    return keyed.join(F.broadcast(rows), "__residua_slot").select(*[F.col(f"`{c}`") for c in kept], F.col("__residua_slot").alias(slot_name), F.col("__residua_shard").alias(shard_name))
 
 
 def write_shards(docs: DataFrame, path: str, shards: Sequence[str], **options) -> None:
