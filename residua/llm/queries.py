@@ -76,6 +76,22 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.selectExpr("doc_id", "text", "__parts AS n_lines", "__removed AS n_removed", _span_texts("removed_spans"))
 
 
+ORACLE_SQL["op9_line_dedup"] = r"""
+WITH a AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents),
+b AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY k) - length(line) - 1 AS off, length(line) - length(regexp_replace(line, '^[\x09-\x0D\x20]+', '')) AS blank,
+  array_to_string(list_filter(string_split_regex(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x09-\x0D\x20]+'), lambda w: w <> ''), ' ') AS norm FROM a),
+c AS (SELECT doc_id, text, norm, (off + blank)::BIGINT AS start, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS idx FROM b WHERE norm <> ''),
+d AS (SELECT *, coalesce(lead(start) OVER w, length(text)) AS stop, lead(norm, 1) OVER w AS norm1, lead(norm, 2) OVER w AS norm2 FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY idx)),
+r AS (SELECT doc_id, idx, row_number() OVER (PARTITION BY norm, norm1, norm2 ORDER BY doc_id, idx) AS nth FROM d WHERE norm2 IS NOT NULL),
+g AS (SELECT DISTINCT doc_id, idx + j AS idx FROM r, range(3) AS t(j) WHERE nth > 1),
+e AS (SELECT d.*, g.idx IS NOT NULL AS gone FROM d LEFT JOIN g ON g.doc_id = d.doc_id AND g.idx = d.idx),
+s AS (SELECT doc_id, min(start) AS a, max(stop) AS b FROM (SELECT *, idx - row_number() OVER (PARTITION BY doc_id ORDER BY idx) AS island FROM e WHERE gone) GROUP BY doc_id, island),
+t AS (SELECT doc_id, string_agg(a || ':' || b, ',' ORDER BY a) AS removed_spans FROM s GROUP BY 1),
+f AS (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE gone) AS m, min(start) AS first, string_agg(substr(text, start + 1, stop - start), '' ORDER BY idx) FILTER (WHERE NOT gone) AS kept FROM e GROUP BY 1)
+SELECT o.doc_id, CASE WHEN coalesce(m, 0) = 0 THEN o.text ELSE substr(o.text, 1, first) || coalesce(kept, '') END AS text, coalesce(n, 0)::INT AS n_lines, coalesce(m, 0)::INT AS n_removed, coalesce(removed_spans, '') AS removed_spans
+FROM documents o LEFT JOIN f ON f.doc_id = o.doc_id LEFT JOIN t ON t.doc_id = o.doc_id"""
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Copies of every document by Poisson counts at its source's rate, in shuffled order; each copy with a digest of its text."""
     mixed = mixing.mix(table(spark, sf_dir, "documents"), WEIGHTS)
