@@ -12,7 +12,8 @@ KEY = ("output_type", "layer", "head")
 
 def merge(ranges: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
     """Half-open ranges (key, start, end) that touch or overlap, as one each."""
-    by = Window.partitionBy(*key).orderBy("start", "end")
+    ranges = ranges.groupBy(*key, "start").agg(F.max("end").alias("end"))  # one row for each start: no ties in the order below
+    by = Window.partitionBy(*key).orderBy("start")
     reach = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))
     fresh = F.when(reach.isNull() | (F.col("start") > reach), 1).otherwise(0)
     island = F.sum("__fresh").over(by.rowsBetween(Window.unboundedPreceding, 0))

@@ -381,8 +381,8 @@ def _ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_MERGE = """f AS (SELECT *, CASE WHEN pm IS NULL OR "start" > pm THEN 1 ELSE 0 END AS fresh FROM (SELECT *, max("end") OVER (PARTITION BY output_type, layer, head ORDER BY "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pm FROM r)),
-i AS (SELECT *, sum(fresh) OVER (PARTITION BY output_type, layer, head ORDER BY "start", "end" ROWS UNBOUNDED PRECEDING) AS island FROM f),
+_MERGE = """u AS (SELECT output_type, layer, head, "start", max("end") AS "end" FROM r GROUP BY 1, 2, 3, 4), f AS (SELECT *, CASE WHEN pm IS NULL OR "start" > pm THEN 1 ELSE 0 END AS fresh FROM (SELECT *, max("end") OVER (PARTITION BY output_type, layer, head ORDER BY "start" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pm FROM u)),
+i AS (SELECT *, sum(fresh) OVER (PARTITION BY output_type, layer, head ORDER BY "start" ROWS UNBOUNDED PRECEDING) AS island FROM f),
 m AS (SELECT output_type, layer, head, min("start") AS "start", max("end") AS "end" FROM i GROUP BY output_type, layer, head, island)"""
 
 
