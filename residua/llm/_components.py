@@ -12,8 +12,8 @@ def components(edges: DataFrame) -> DataFrame:
     """Edges (a long, b long) to rows (node, component) for every node that has an edge to another; component is the smallest node reachable.
 
     Self loops, repeated and null edges do not count; no edges give no rows. Each round is two aggregations and two
-    joins on node keys, kept as a table, so neither an adjacency list nor a whole component meets in one task. The
-    number of rounds grows with the logarithm of the longest path.
+    joins on node keys, so no adjacency list or whole component meets in one row; the least neighbours are kept as
+    tables, so that AQE can split the joins at a node that many others hang on. The number of rounds grows with the logarithm of the longest path.
     """
     a, b = F.col("a"), F.col("b")
     now = durable(edges.where(a != b).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct())
@@ -21,9 +21,9 @@ def components(edges: DataFrame) -> DataFrame:
     while (state := now.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first())[0] and tuple(state) != before:
         before = tuple(state)
         both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(now.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
-        parent = large.groupBy("hi").agg(F.min("lo").alias("m"))
+        least = durable(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        large = durable(both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct())
+        parent = durable(large.groupBy("hi").agg(F.min("lo").alias("m")))
         joined = large.join(parent, "hi")
         small = parent.select("hi", F.col("m").alias("lo")).unionByName(joined.where("lo != m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")))
         now = durable(small.distinct())
