@@ -80,7 +80,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner:
     value = ["h1", "h2"]
     owners = each.groupBy(*value, "owner", "repository").agg(F.count("*").alias("n")).groupBy(*value, "owner").agg(F.count("*").alias("repositories"))
     owners = owners.groupBy(*value).agg(F.count("*").alias("n_owners"), F.sum("repositories").alias("n_repositories"))
-    known = each.join(owners, value)
+    known = each.join(durable(owners), value)  # a table of its own: AQE can split the join's hot values
     live = (F.col("n_owners") == 1) & (F.col("signs") >= least_signs)
     base = F.col("kind") < 3
     span = F.struct("s", "kind", "e")
