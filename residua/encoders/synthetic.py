@@ -19,9 +19,11 @@ class SyntheticEncoder:
         base = 31 * t + 17 * pos
         d, v = 7 * np.arange(self.hidden_size), 5 * np.arange(self.vocab_size)
         hidden = {k: ((base[:, :, None] + d + 13 * k) % 256 / 256).astype(np.float32) for k in wanted.hidden}
-        pair = 5 * t[:, None, :, None] + 3 * t[:, None, None, :] + pos[:, None] + 2 * pos
-        heads = 7 * np.arange(self.num_heads)[None, :, None, None]
-        attention = {k: ((pair + heads + 11 * k) % 8 / 8).astype(np.float32) for k in wanted.attention}
+        attention = {}
+        if wanted.attention:  # length squared: only on demand
+            pair = 5 * t[:, None, :, None] + 3 * t[:, None, None, :] + pos[:, None] + 2 * pos
+            heads = 7 * np.arange(self.num_heads)[None, :, None, None]
+            attention = {k: ((pair + heads + 11 * k) % 8 / 8).astype(np.float32) for k in wanted.attention}
         logits = ((base[:, :, None] + v) % 256 / 256).astype(np.float32) if wanted.logits else None
         return Output(hidden, attention, logits)
 
