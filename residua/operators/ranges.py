@@ -21,14 +21,16 @@ def merge(ranges: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
 
 
 def pending(wanted: DataFrame, completed: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
-    """Wanted ranges that no completed range of their key contains. Keys may be null."""
-    done = completed.select(*[F.col(k).alias(f"__{k}") for k in key], F.col("start").alias("__start"), F.col("end").alias("__end"))
-    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in key]
-    inside = (F.col("__start") <= F.col("start")) & (F.col("end") <= F.col("__end"))
-    condition = inside
-    for s in same:
-        condition = condition & s
-    return wanted.join(done, condition, "left_anti")
+    """Wanted ranges that no completed range of their key contains. Keys may be null.
+
+    A range is contained if, of the completed ones that start no later, one reaches its end: one sort by key and start,
+    and no comparison of each range with each other.
+    """
+    done = completed.select(*key, "start", "end").withColumn("__asked", F.lit(0))
+    both = wanted.withColumn("__asked", F.lit(1)).unionByName(done, allowMissingColumns=True)
+    before = Window.partitionBy(*key).orderBy("start", "__asked").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    reach = F.max(F.when(F.col("__asked") == 0, F.col("end"))).over(before)
+    return both.withColumn("__reach", reach).where((F.col("__asked") == 1) & (F.col("__reach").isNull() | (F.col("__reach") < F.col("end")))).select(*wanted.columns)
 
 
 def summary(ranges: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
