@@ -192,11 +192,16 @@ def bit_sliced_pairs(words: np.ndarray, low: np.ndarray, high: np.ndarray, radiu
             yield a, b, np.bitwise_count(words[a] ^ words[b]).sum(axis=1)
 
 
-def _linked(width: int, radius: int):
-    """mapInArrow function: rows (group, side, id, w...) sorted by group and side to the spanning links of each group."""
+def _linked(width: int, radius: int, apart: bool = False):
+    """mapInArrow function: rows (group, side, id, w...) sorted by group and side to the spanning links of each group.
+
+    apart: rows have a component too, and all pairs within the radius whose components differ come out, none thinned.
+    """
     names = [f"w{k}" for k in range(width)]
+    keys = ["group", "side", "id", *(["component"] if apart else [])]
 
-    def compare(group: np.ndarray, side: np.ndarray, ids: np.ndarray, words: np.ndarray) -> pa.RecordBatch:
+    def compare(group: np.ndarray, side: np.ndarray, ids: np.ndarray, *rest: np.ndarray) -> Iterator[pa.RecordBatch]:
+        words = rest[-1]
         n = len(group)
         starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
         sizes = np.diff(np.append(starts, n))
@@ -206,6 +211,11 @@ def _linked(width: int, radius: int):
         if two.any():
             ones = np.repeat(starts + np.add.reduceat((side == 1).astype(np.int64), starts), sizes)
             low = np.where(two, np.where(side == 1, ones, high), low)
+        if apart:
+            for a, b, _ in bit_sliced_pairs(words, low, high, radius, slab=1 << 13):
+                differ = rest[0][a] != rest[0][b]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[a[differ]]), pa.array(ids[b[differ]])], ["a", "b"])
+            return
         kept, held = [], 0
         for part in bit_sliced_pairs(words, low, high, radius):
             kept.append(part)
@@ -214,9 +224,9 @@ def _linked(width: int, radius: int):
                 kept = [_forest(n, *(np.concatenate(x) for x in zip(*kept)))]
                 held = len(kept[0][0])
         if not kept:
-            return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, ["a", "b"])
+            return
         a, b, _ = _forest(n, *(np.concatenate(x) for x in zip(*kept)))
-        return pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], ["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], ["a", "b"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -224,7 +234,7 @@ def _linked(width: int, radius: int):
             if batch is not None:
                 if not batch.num_rows:
                     continue
-                now = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("group", "side", "id")]
+                now = [batch.column(c).to_numpy(zero_copy_only=False) for c in keys]
                 now.append(np.stack([batch.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in names], axis=1))
                 rest = now if rest is None else [np.concatenate(x) for x in zip(rest, now)]
                 cut = int(np.searchsorted(rest[0], rest[0][-1]))  # the last group may go on
@@ -233,20 +243,21 @@ def _linked(width: int, radius: int):
             else:
                 cut = len(rest[0])
             if cut:
-                yield compare(*(x[:cut] for x in rest))
+                yield from compare(*(x[:cut] for x in rest))
                 rest = [x[cut:] for x in rest]
 
     return run
 
 
-def links(fps: DataFrame, masks: list[int], radius: int, width: int = 1, block: int = BLOCK_ROWS) -> DataFrame:
+def links(fps: DataFrame, masks: list[int], radius: int, width: int = 1, block: int = BLOCK_ROWS, apart: bool = False) -> DataFrame:
     """Rows (a, b): for each bucket of the masks, a spanning forest of the pairs of rows (id, w0, ...) within the radius.
+    apart: all pairs within the radius instead, of rows (id, component, w0, ...) whose components differ.
 
     A bucket over `block` rows is split by a hash of the id into blocks, and each pair of blocks is a group of its own,
     so every pair of a bucket is compared, no group has over about two blocks, and a group gives at most as many links as rows.
     """
-    names = [f"w{k}" for k in range(width)]
-    keys = [F.xxhash64(F.lit(t), *[F.col(c).bitwiseAND(F.lit(_signed(m >> 64 * k & (1 << 64) - 1))) for k, c in enumerate(names)]) for t, m in enumerate(masks)]
+    names = [*(["component"] if apart else []), *(f"w{k}" for k in range(width))]
+    keys = [F.xxhash64(F.lit(t), *[F.col(c).bitwiseAND(F.lit(_signed(m >> 64 * k & (1 << 64) - 1))) for k, c in enumerate(names[-width:])]) for t, m in enumerate(masks)]
     rows = fps.select("id", *names, F.explode(F.array(*keys)).alias("group")).withColumn("side", F.lit(0))
     hot = durable(rows.groupBy("group").count().where(F.col("count") > block).select("group", F.ceil(F.col("count") / block).cast("int").alias("blocks")))
     if n := hot.count():
@@ -258,7 +269,7 @@ def links(fps: DataFrame, masks: list[int], radius: int, width: int = 1, block:
         pair = F.when(F.col("blocks") == 1, F.col("group")).otherwise(F.xxhash64("group", F.least("own", "other"), F.greatest("own", "other")))
         rows = rows.select("id", *names, pair.alias("group"), side.alias("side"))
     rows = rows.select("group", "side", "id", *names).repartition("group").sortWithinPartitions("group", "side")
-    return rows.mapInArrow(_linked(width, radius), "a long, b long")
+    return rows.mapInArrow(_linked(width, radius, apart), "a long, b long")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 2, bands: int = 4) -> DataFrame:
@@ -294,8 +305,8 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Documents link if the Jaccard similarity of their sets of word shingles is `similarity` or more. Candidates come from
     SimHash fingerprints of 256 bits: an index of sampled bits that a pair at the threshold shares with probability
     `recall` (nearer pairs with more), bit-sliced comparison within a radius three standard deviations above the distance
-    expected at the threshold, then the exact similarity of the links that span each bucket. Texts with the same set of
-    shingles have one fingerprint and are one document here.
+    expected at the threshold, then the exact similarity: first of the links that span each bucket, then of all candidates
+    that could still join two groups. Texts with the same set of shingles have one fingerprint and are one document here.
 
     Nulls: a null text is empty, and all texts without words are copies of each other; rows without doc_id stay. Of
     repeated rows one stays. All columns are kept, whatever their names.
@@ -305,14 +316,36 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     radius = round(bits * rate + 3 * math.sqrt(bits * rate * (1 - rate)))
     base = durable(fingerprints(docs.where(F.col(id_col).isNotNull()), id_col, text_col, words, width, distinct=True))
     fps = durable(base.groupBy(*[f"w{k}" for k in range(width)]).agg(F.min("id").alias("id")))
-    near = links(fps, _sampled(bits, rate, fps.count(), recall), radius, width)
-    near = durable(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    masks = _sampled(bits, rate, fps.count(), recall)
+
+    def ordered(found: DataFrame) -> DataFrame:
+        return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    near = durable(ordered(links(fps, masks, radius, width)))
     wanted = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     sets = _shingle_sets(docs.select(id_col, text_col).join(wanted.withColumnRenamed("id", id_col), id_col, "left_semi"), id_col, text_col, words).dropDuplicates(["id"])
     sets = durable(sets)
-    pairs = near.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
-    found = components(pairs.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b"))
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+        return durable(pairs.select("a", "b", (shared >= similarity * (F.size("x") + F.size("y") - shared)).alias("alike")))
+
+    tried = checked(near)
+    found = components(tried.where("alike").select("a", "b"))
+    # A pair of a bucket that is alike but still apart has a rejected link on its path in the bucket's forest where the path
+    # leaves its components. So only components at rejected links can have such pairs; all candidates between them are checked.
+    found = durable(found)
+    lies = lambda end: found.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))
+    failed = tried.where("NOT alike").join(lies("a"), "a", "left").join(lies("b"), "b", "left")
+    failed = failed.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")).where("a != b")
+    unsure = failed.select(F.explode(F.array("a", "b")).alias("component")).distinct()
+    rows = fps.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    rows = durable(rows.join(unsure, "component", "left_semi"))
+    rest = ordered(links(rows, masks, radius, width, apart=True)).join(tried.select("a", "b"), ["a", "b"], "left_anti")
+    more = checked(rest).where("alike")
+    if not more.isEmpty():
+        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more.select("a", "b")))
     later = found.where("node != component").select(F.col("node").alias("id"))
     stay = fps.select("id").join(later, "id", "left_anti").select(F.col("id").alias(id_col))
     return docs.where(F.col(id_col).isNotNull()).join(stay, id_col, "left_semi").dropDuplicates([id_col]).select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))

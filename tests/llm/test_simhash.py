@@ -5,6 +5,7 @@ import pytest
 import xxhash
 
 from residua.llm.simhash import _sampled, bit_sliced_pairs, keep_one_of_each, links, near_groups
+from tests.llm.test_pipeline import one_of_each
 
 SCHEMA = "doc_id long, text string, id string, w0 string, `group` int"
 
@@ -109,3 +110,18 @@ def test_keep_one_of_each(spark):
 def test_sampled_masks_are_deterministic_and_grow():
     assert _sampled(128, 0.15, 1000, 0.97) == _sampled(128, 0.15, 1000, 0.97)
     assert len(_sampled(128, 0.15, 10**8, 0.97)) > len(_sampled(128, 0.15, 1000, 0.97))
+
+
+def test_rejected_links_hide_no_pair(spark):
+    rows = []
+    for family in range(6):
+        draw = random.Random(family)
+        base = [f"w{draw.randrange(10**6)}" for _ in range(200)]
+        for k in range(60):
+            copy = list(base)
+            for _ in range(3):
+                copy[draw.randrange(200)] = f"e{draw.randrange(10**6)}"
+            rows.append((family * 100 + k, " ".join(copy)))
+    want = one_of_each([{"doc_id": i, "text": t} for i, t in rows])
+    got = keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id for r in got.collect()} == want
