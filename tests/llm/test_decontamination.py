@@ -81,3 +81,24 @@ def test_empty_tables(spark):
     docs, bench, _ = made(spark)
     assert matches(docs.where("false"), bench).count() == 0 and matches(docs, bench.where("false")).count() == 0
     assert drop_copies(docs, bench.where("false")).count() == docs.count()
+
+
+def test_heavily_edited_copies_keep_seeds(spark):
+    draw = random.Random(2)
+    items = [[f"i{k}w{j}" for j in range(draw.choice([3, 4, 5, 6, 12, 30, 40]))] for k in range(24)]
+    edits = [
+        lambda w: [x if j % 5 else "changed" for j, x in enumerate(w)],
+        lambda w: [y for j, x in enumerate(w) for y in ([x, "more"] if j % 3 == 2 else [x])],
+        lambda w: [y for j, x in enumerate(w) for y in ([x, f"more{j}"] if j % 2 else [x])],
+        lambda w: [x for j, x in enumerate(w) if j % 4],
+        lambda w: [y for x in w[:-1] for y in (x, "and")] + w[-1:],
+        lambda w: w[: len(w) * 2 // 3],
+        lambda w: [x if j % 3 else "changed" for j, x in enumerate(w)],
+    ]
+    docs = [(k * 10 + n, ["before"] * 30 + edit(w) + ["after"] * 30) for k, w in enumerate(items) for n, edit in enumerate(edits)]
+    docs += [(1000 + k, w) for k, w in enumerate(items[:12])]
+    want = {(i, k): s / 2 / len(w) for i, d in docs for k, w in enumerate(items) if (s := brute_alignment(w, d)) >= 0.6 * 2 * len(w)}
+    docs = spark.createDataFrame([(i, " ".join(d)) for i, d in docs], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    assert {(r.doc_id, r.item_id): r.score for r in matches(docs, bench).collect()} == want and len(want) > 100
+    assert {r.doc_id for r in drop_copies(docs, bench).collect()} == {r.doc_id for r in docs.collect()} - {i for i, _ in want}
