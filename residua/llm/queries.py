@@ -29,7 +29,7 @@ def _span_texts(name: str) -> str:
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without sentences of repeated spans; removed_spans are code points start:end of the old text."""
-    found = sentence_spans.dedup(table(spark, sf_dir, "documents"))
+    found = sentence_spans.dedup(table(spark, sf_dir, "documents"), whole=True)
     return found.selectExpr("doc_id", "text", "__parts AS n_sentences", "__removed AS n_removed", _span_texts("removed_spans"))
 
 

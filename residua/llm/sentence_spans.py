@@ -1,7 +1,8 @@
 """Substring dedup by sliding sentence spans.
 
-Every run of several consecutive sentences is hashed, hashes are joined over the whole corpus, and sentences that a run
-covers whose first occurrence is elsewhere are removed.
+Runs of several consecutive sentences are hashed, hashes are joined over the whole corpus, and sentences that a run
+covers whose first occurrence is elsewhere are removed. The shortest run from each sentence and, with `whole`, the
+shortest one to each sentence stand for all runs: what a longer repeated run covers, shortest ones inside it cover too.
 """
 
 from __future__ import annotations
@@ -51,8 +52,11 @@ def parts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return start[first], bounds
 
 
-def runs(data: np.ndarray, offsets: np.ndarray, least_sentences: int = SENTENCES, least_words: int = WORDS):
-    """(text, first sentence, end sentence, hash of 2 x 64 bits) of the run from each sentence: the shortest one with enough sentences and words. Case of A-Z and white space don't count."""
+def runs(data: np.ndarray, offsets: np.ndarray, least_sentences: int = SENTENCES, least_words: int = WORDS, whole: bool = False):
+    """(text, first sentence, end sentence, hash of 2 x 64 bits) of the run from each sentence: the shortest one with enough sentences and words. Case of A-Z and white space don't count.
+
+    whole: also the shortest run to each sentence where it is another one.
+    """
     _, hashes, first, stop, bounds = sentences(data, offsets)
     units = np.maximum(1, (stop - first) // WORDS)
     total = np.cumsum(units)
@@ -60,17 +64,26 @@ def runs(data: np.ndarray, offsets: np.ndarray, least_sentences: int = SENTENCES
     text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     own = np.flatnonzero(end <= bounds[text + 1])
     text, end = text[own], end[own]
+    if whole and len(first):
+        to = np.arange(1, len(first) + 1)
+        before = total - units
+        start = np.minimum(np.searchsorted(first, stop - least_words, "right"), np.searchsorted(before, total - least_sentences, "right")) - 1
+        of = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+        known = np.zeros(len(first), np.int64)
+        known[own] = end
+        more = np.flatnonzero((start >= bounds[of]) & (known[np.maximum(start, 0)] != to))
+        text, own, end = np.concatenate([text, of[more]]), np.concatenate([own, start[more]]), np.concatenate([end, to[more]])
     words = first[own], stop[end - 1]
     h1, h2 = range_hashes(hashes, *words), range_hashes(mix(hashes + np.uint64(1)), *words)
     return text, own - bounds[text], end - bounds[text], h1, h2
 
 
-def span_hashes(docs: DataFrame, id_col: str, text_col: str, least_sentences: int, least_words: int) -> DataFrame:
+def span_hashes(docs: DataFrame, id_col: str, text_col: str, least_sentences: int, least_words: int, whole: bool = False) -> DataFrame:
     """Rows (h1, h2, id, start, end): one for each run of each document."""
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, "text"):
-            text, start, end, h1, h2 = runs(*flat(part.column("text")), least_sentences, least_words)
+            text, start, end, h1, h2 = runs(*flat(part.column("text")), least_sentences, least_words, whole)
             ids = part.column("id").take(pa.array(text))
             yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), ids, pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], ["h1", "h2", "id", "start", "end"])
 
@@ -78,17 +91,19 @@ def span_hashes(docs: DataFrame, id_col: str, text_col: str, least_sentences: in
     return rows.mapInArrow(work, "h1 long, h2 long, id long, start int, end int")
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_sentences: int = SENTENCES, least_words: int = WORDS) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_sentences: int = SENTENCES, least_words: int = WORDS, whole: bool = False) -> DataFrame:
     """docs with repeated runs removed from the texts, and columns __parts (sentences), __removed (of them) and __spans (code points of the old text).
 
     A run is two or more consecutive sentences with 20 or more words together; its first occurrence is that with the
     smallest (doc_id, sentence number). All later occurrences go, in other documents and in the same one. Rows are
-    neither dropped nor added: a text of repeats alone becomes empty.
+    neither dropped nor added. whole: a repeated run goes to its last sentence, so a text of repeats alone becomes empty;
+    without it, sentences behind the last shortest run from a sentence stay. Runs are found inside each other where their
+    sentences end at the same words; the same words with line ends elsewhere are other sentences.
 
     Nulls: a null text stays null; rows without id are not read for runs and stay as they are. Repeated rows of one
     doc_id are one document. Other columns are kept, whatever their names (but for the three added).
     """
-    each = span_hashes(docs, id_col, text_col, least_sentences, least_words)
+    each = span_hashes(docs, id_col, text_col, least_sentences, least_words, whole)
     where = F.struct("id", "start")
     # Half of the hash tells most runs of no repeat apart, in the narrowest rows; counts are partial before the shuffle, so
     # a run that everyone has is a few rows. What is left is kept as a table. Joins have a shuffle on both sides: AQE splits

@@ -10,6 +10,7 @@ from residua.llm._common import flat
 from residua.llm._spans import cut, merged
 from residua.llm._words import spaced_words
 from residua.llm.line_dedup import winnow
+from residua.llm.queries import QUERIES
 from residua.llm.sentence_spans import CUT, LONGEST
 
 SCHEMA = "doc_id long, text string, id string, start int, `end` int, h1 string, run string"
@@ -144,3 +145,31 @@ def test_a_passage_across_documents_goes_but_once(spark):
     docs = [(i, f"{say(40)}.\n{passage} {say(40)}") for i in range(20)]
     got = sentence_spans.dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert [r.doc_id for r in got if passage in r.text] == [0] and all(r["__removed"] for r in got if r.doc_id)
+
+
+def all_sentence_runs(text):
+    own = sentences(text)
+    return [
+        (tuple(w for p in own[s:e] for _, _, w in p), s, e)
+        for s in range(len(own))
+        for e in range(s + 1, min(len(own), s + 60) + 1)
+        if sum(map(len, own[s:e])) >= 20 and sum(max(1, len(p) // 20) for p in own[s:e]) >= 2
+    ]
+
+
+def test_all_runs_against_brute_force(spark):
+    rows = corpus(False)
+    got = sentence_spans.dedup(spark.createDataFrame(rows, SCHEMA), whole=True)
+    found = got.selectExpr("doc_id", "text", "__parts", "__removed", "aggregate(__spans, 0, (a, s) -> a + s.end - s.start)").collect()
+    assert sorted(map(tuple, found), key=str) == brute(rows, sentences, all_sentence_runs)
+
+
+def test_op2_removes_repeats_to_their_ends(spark, tmp_path):
+    draw = random.Random(6)
+    sentence = lambda n: " ".join(f"w{draw.randrange(10**6)}" for _ in range(n)) + "."
+    passage = " ".join(sentence(n) for n in (12, 12, 12, 6))
+    docs = [(1, passage), (2, passage), (3, f"{sentence(12)} {passage} {sentence(11)}")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in QUERIES["op2_substring_dedup"](spark, str(tmp_path)).collect()}
+    assert got[1].text == passage and got[2].text == "" and got[3].n_removed == got[3].n_sentences - 2
+    assert not set(passage.split()) & set(got[3].text.split())
