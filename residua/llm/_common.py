@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -12,33 +11,46 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from residua.sinks.scratch import new_folder
+
 #: Bytes of text that Python code handles at once; a longer text is handled alone and whole.
 CHUNK_BYTES = 2 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a temporary one only where none is set in local mode."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        kept = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = kept.get() if kept.isDefined() else None
-    if not found:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="residua-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
+@contextmanager
+def _files_of_shuffles_go(spark: SparkSession) -> Iterator[None]:
+    """Within it, a query's shuffle files are deleted when the query has ended, not whenever the driver's memory is cleaned."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def _path(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Writes df as Parquet under the shared folder and reads it back: lineage ends there and survives lost executors. The files go when the driver's JVM ends."""
+    """Writes df as Parquet under the shared folder and reads it back: lineage ends there and survives lost executors. The files go with let_go(), or when the driver's JVM ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/residua/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    path = new_folder(spark)
+    with _files_of_shuffles_go(spark):
+        df.write.parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._residua_path = path
+    return made
+
+
+def let_go(*tables: DataFrame | None) -> None:
+    """Deletes the files of durable tables that nothing reads any more; others are left alone."""
+    for df in tables:
+        if path := getattr(df, "_residua_path", None):
+            files, where = _path(df.sparkSession, path)
+            files.delete(where, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

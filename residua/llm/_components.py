@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from residua.llm._common import durable
+from residua.llm._common import durable, let_go
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -26,5 +26,7 @@ def components(edges: DataFrame) -> DataFrame:
         parent = durable(large.groupBy("hi").agg(F.min("lo").alias("m")))
         joined = large.join(parent, "hi")
         small = parent.select("hi", F.col("m").alias("lo")).unionByName(joined.where("lo != m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")))
-        now = durable(small.distinct())
+        after = durable(small.distinct())
+        let_go(now, least, large, parent)
+        now = after
     return now.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(now.select(F.col("lo").alias("node"), F.col("lo").alias("component"))).distinct()
