@@ -50,16 +50,19 @@ def _text(spans: str) -> str:
     return f"array_join(transform({spans}, z -> concat_ws(':', element_at(array({names}), z.kind + 1), z.s, z.e)), ',')"
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner: str = "source", repository: tuple[str, ...] = ("source", "lang"), copied_owners: int = 3, least_signs: int = 10) -> DataFrame:
-    """One row for each row of docs: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_owned, n_copied, n_specific.
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner: str = "source", repository: tuple[str, ...] = ("source", "lang"), copied_owners: int = 3, copied_repositories: int = 4, own_repositories: int = 2, least_signs: int = 10) -> DataFrame:
+    """One row for each row of docs: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_owned, n_copied, n_specific, most_owners, most_repositories.
 
     Spans are kind:start:end in code points, end exclusive, by start and then kind; base_sha256 is over the base spans
-    alone. n_copied counts the base spans whose value at least `copied_owners` owners have, n_specific those whose value
-    one owner has and that look live (at least `least_signs` different characters); n_owned counts the added spans: broad
-    candidates that look live, that one owner has and that overlap no base span.
+    alone. A value is copied if at least `copied_owners` owners or `copied_repositories` repositories have it, and specific
+    if one owner has it, in `own_repositories` repositories at most, and it looks live (at least `least_signs` different
+    characters). n_copied and n_specific count the base spans with such values; n_owned counts the added spans: broad
+    candidates that are specific and overlap no base span. most_owners and most_repositories are the largest numbers of
+    owners and of repositories that a candidate's value has, 0 without candidates.
 
     Nulls: a null text is empty; a null owner or repository part counts as the empty name; a row with a null id is
-    scanned like others. Repeated rows give repeated rows and count as one owner. Other columns are not read.
+    scanned like others. Texts of any length are scanned whole. Repeated rows give repeated rows and count as one owner.
+    Other columns are not read, whatever their names. An empty table gives no rows.
     """
     named = lambda *c: F.concat_ws("/", *[F.coalesce(F.col(x).cast("string"), F.lit("")) for x in c])
     df = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("t"), named(owner).alias("owner"), named(*repository).alias("repository"))
@@ -81,21 +84,23 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner:
     owners = each.groupBy(*value, "owner", "repository").agg(F.count("*").alias("n")).groupBy(*value, "owner").agg(F.count("*").alias("repositories"))
     owners = owners.groupBy(*value).agg(F.count("*").alias("n_owners"), F.sum("repositories").alias("n_repositories"))
     known = each.join(durable(owners), value)  # a table of its own: AQE can split the join's hot values
-    live = (F.col("n_owners") == 1) & (F.col("signs") >= least_signs)
+    live = (F.col("n_owners") == 1) & (F.col("n_repositories") <= own_repositories) & (F.col("signs") >= least_signs)
+    copied = (F.col("n_owners") >= copied_owners) | (F.col("n_repositories") >= copied_repositories)
     base = F.col("kind") < 3
     span = F.struct("s", "kind", "e")
     of = known.groupBy("doc_id", "t_hash").agg(
         F.collect_set(F.when(~base & live, span)).alias("added"),
-        F.collect_set(F.when(base & (F.col("n_owners") >= copied_owners), span)).alias("copied"),
+        F.collect_set(F.when(base & copied, span)).alias("copied"),
         F.collect_set(F.when(base & live, span)).alias("specific"),
+        *[F.max(f"n_{n}").alias(f"most_{n}") for n in ("owners", "repositories")],
     )
-    of = of.select(F.col("doc_id").alias("of_id"), F.col("t_hash").alias("of_hash"), "added", "copied", "specific")
+    of = of.select(F.col("doc_id").alias("of_id"), F.col("t_hash").alias("of_hash"), "added", "copied", "specific", "most_owners", "most_repositories")
     out = seen.join(of, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("t_hash") == F.col("of_hash")), "left")
     none = F.expr("cast(array() AS array<struct<s:int,kind:int,e:int>>)")
     kept = "transform(filter(found, z -> z.kind < 3), z -> struct(z.s AS s, z.kind AS kind, z.e AS e))"
     out = out.withColumn("all", F.array_sort(F.concat(F.expr(kept), F.coalesce("added", none))))
     count = lambda c: F.coalesce(F.size(c).cast("long"), F.lit(0)).alias
-    return out.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", F.expr(_text("`all`")).alias("spans"), *[F.when(F.col(c).isNull(), 0).otherwise(F.size(c)).cast("long").alias(f"n_{n}") for c, n in (("added", "owned"), ("copied", "copied"), ("specific", "specific"))])
+    return out.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", F.expr(_text("`all`")).alias("spans"), *[F.when(F.col(c).isNull(), 0).otherwise(F.size(c)).cast("long").alias(f"n_{n}") for c, n in (("added", "owned"), ("copied", "copied"), ("specific", "specific"))], *[F.coalesce(f"most_{n}", F.lit(0).cast("long")).alias(f"most_{n}") for n in ("owners", "repositories")])
 
 
 def _oracle() -> str:
@@ -108,17 +113,17 @@ def _oracle() -> str:
     kinds = "['assign', 'access', 'hex', 'owned']"
     text = lambda x: f"coalesce(array_to_string(list_transform({x}, lambda s: {kinds}[s.k + 1] || ':' || s.s || ':' || s.e), ','), '')"
     return f"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(source, '') AS owner FROM documents),
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(source, '') AS owner, coalesce(source, '') || '/' || coalesce(lang, '') AS repository FROM documents),
 b AS (SELECT *, {", ".join(f"{spans(k, *x)} AS {n}" for k, (n, x) in enumerate(BASE.items()))}, {spans(3, BROAD, 0, 20)} AS w FROM d),
 c AS (SELECT *, list_sort(list_concat(assign, access, hex)) AS base FROM b),
 f AS (SELECT *, list_filter(w, lambda s: regexp_matches(s.v, '[0-9]') AND regexp_matches(s.v, '[A-Za-z]') AND regexp_matches(s.v, '[^0-9a-f]') AND len(list_filter(base, lambda q: q.s < s.e AND s.s < q.e)) = 0) AS wide FROM c),
-e AS (SELECT doc_id, owner, unnest(list_concat(base, wide)) AS s FROM f),
-o AS (SELECT s.v AS v, count(DISTINCT owner) AS n FROM e GROUP BY 1),
-k AS (SELECT e.doc_id, e.s, o.n, len(list_distinct(string_split(e.s.v, ''))) AS signs FROM e JOIN o ON e.s.v = o.v),
-g AS (SELECT doc_id, list(s) FILTER (WHERE s.k = 3 AND n = 1 AND signs >= 10) AS added,
-  count(*) FILTER (WHERE s.k < 3 AND n >= 3) AS copied, count(*) FILTER (WHERE s.k < 3 AND n = 1 AND signs >= 10) AS spec FROM k GROUP BY 1)
+e AS (SELECT doc_id, owner, repository, unnest(list_concat(base, wide)) AS s FROM f),
+o AS (SELECT s.v AS v, count(DISTINCT owner) AS n, count(DISTINCT (owner, repository)) AS m FROM e GROUP BY 1),
+k AS (SELECT e.doc_id, e.s, o.n, o.m, n = 1 AND m <= 2 AND len(list_distinct(string_split(e.s.v, ''))) >= 10 AS live FROM e JOIN o ON e.s.v = o.v),
+g AS (SELECT doc_id, list(s) FILTER (WHERE s.k = 3 AND live) AS added, max(n) AS n, max(m) AS m,
+  count(*) FILTER (WHERE s.k < 3 AND (n >= 3 OR m >= 4)) AS copied, count(*) FILTER (WHERE s.k < 3 AND live) AS spec FROM k GROUP BY 1)
 SELECT f.doc_id, len(assign)::BIGINT AS n_assign, len(access)::BIGINT AS n_access, len(hex)::BIGINT AS n_hex, sha256({text("base")}) AS base_sha256,
-  {text("list_sort(list_concat(base, coalesce(added, [])))")} AS spans, coalesce(len(added), 0)::BIGINT AS n_owned, coalesce(copied, 0)::BIGINT AS n_copied, coalesce(spec, 0)::BIGINT AS n_specific
+  {text("list_sort(list_concat(base, coalesce(added, [])))")} AS spans, coalesce(len(added), 0)::BIGINT AS n_owned, coalesce(copied, 0)::BIGINT AS n_copied, coalesce(spec, 0)::BIGINT AS n_specific, coalesce(n, 0)::BIGINT AS most_owners, coalesce(m, 0)::BIGINT AS most_repositories
 FROM f LEFT JOIN g ON f.doc_id = g.doc_id"""
 
 
