@@ -9,12 +9,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from residua.llm._common import chunks, flat
+from residua.llm._common import chunks, flat, text_or_empty
 
 #: Of flat texts: the first byte of each part, and the n + 1 offsets of the texts in the parts.
 Parts = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
+def text_hash(column: str):
+    """60 bits of a text's MD5 as a long: tells rows that share an id but not their text apart, and orders them."""
+    return F.conv(F.substring(F.md5(text_or_empty(column)), 1, 15), 16, 10).cast("long")
+
+
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows (id, h, text) of docs that have both an id and a text."""
+    rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
+    return rows.select(F.col(id_col).alias("id"), text_hash(text_col).alias("h"), text_or_empty(text_col).alias("text"))
+
+
 def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Sorted, disjoint [start, end) ranges that cover the same numbers."""
     out: list[tuple[int, int]] = []
@@ -37,13 +48,14 @@ def cut(text: bytes, starts: list[int], runs: list[tuple[int, int]]) -> tuple[by
 
 
 def remove_runs(docs: DataFrame, runs: DataFrame, parts: Parts, id_col: str, text_col: str) -> DataFrame:
-    """docs without the parts (numbered by `parts`) in runs (id, start, end); more columns: __parts, __removed (int), __spans (array of start, end in code points of the old text).
+    """docs without the parts (numbered by `parts`) in runs (id, h, start, end); more columns: __parts, __removed (int), __spans (array of start, end in code points of the old text).
 
     A document's runs are gathered in one row: they are at most as many as its parts. Texts are moved once, by id.
     """
     run = F.struct(F.col("start"), F.col("end"))
-    of = runs.groupBy(F.col("id").alias("__residua_id")).agg(F.collect_set(run).alias("__residua_runs"))
-    joined = docs.join(of, F.col(id_col).cast("long") == F.col("__residua_id"), "left").drop("__residua_id")
+    of = runs.groupBy(F.col("id").alias("__residua_id"), F.col("h").alias("__residua_of")).agg(F.collect_set(run).alias("__residua_runs"))
+    own = docs.withColumn("__residua_h", text_hash(text_col))
+    joined = own.join(of, (F.col(id_col) == F.col("__residua_id")) & (F.col("__residua_h") == F.col("__residua_of")), "left")
     names = [f.name for f in docs.schema.fields]
     added = {"__parts": "int", "__removed": "int", "__spans": "array<struct<start:int,end:int>>"}
     schema = docs.withColumns({c: F.lit(None).cast(kind) for c, kind in added.items()}).schema

@@ -50,24 +50,37 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.searchsorted(start, offsets)
 
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[*range(9, 14), 32]] = True
+SPACE = np.zeros(256, bool)
+SPACE[[*range(9, 14), 32]] = True
 _LOWER = np.arange(256, dtype=np.uint64) + np.uint64(1)
 _LOWER[65:91] += np.uint64(32)
 
 
-def spaced_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end byte and 64-bit hash of each word of the flat texts (what stands between ASCII white space; A-Z in lower case), and the n + 1 offsets of the texts in the words."""
-    word = ~_SPACE[data]
+def lowered(data: np.ndarray) -> np.ndarray:
+    """Bytes with A-Z in lower case, plus one, as wide numbers for hashing."""
+    return _LOWER[data]
+
+
+def word_edges(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of each word of the flat texts (what stands between ASCII white space, and from one break to the next), and the n + 1 offsets of the texts in the words."""
+    word = ~SPACE[data]
     filled = np.flatnonzero(np.diff(offsets))
     first, last = word.copy(), word.copy()
     first[1:] &= ~word[:-1]
     last[:-1] &= ~word[1:]
+    if breaks is not None:
+        first |= breaks & word
+        last[:-1] |= breaks[1:] & word[:-1]
     first[offsets[filled]] = word[offsets[filled]]
     last[offsets[filled + 1] - 1] = word[offsets[filled + 1] - 1]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    hashes = range_hashes(_LOWER[data], start, end)
-    return start, end, hashes, np.searchsorted(start, offsets)
+    return start, end, np.searchsorted(start, offsets)
+
+
+def spaced_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte and 64-bit hash of each word of the flat texts (what stands between ASCII white space; A-Z in lower case), and the n + 1 offsets of the texts in the words."""
+    start, end, bounds = word_edges(data, offsets)
+    return start, end, range_hashes(lowered(data), start, end), bounds
 
 
 def range_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:

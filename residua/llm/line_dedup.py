@@ -14,8 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from residua.llm._common import chunks, durable, flat, text_or_empty
-from residua.llm._spans import remove_runs
+from residua.llm._common import chunks, durable, flat, let_go
+from residua.llm._spans import keyed, remove_runs
 from residua.llm._words import range_hashes, spaced_words
 
 #: Lines of the shortest run that is deleted; also the winnowing window, so every such run has a fingerprint.
@@ -49,34 +49,38 @@ def winnow(hashes: np.ndarray, window: int = WINDOW) -> np.ndarray:
 
 
 def anchors(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
-    """Rows (hash, id, low, around): each selected line and the hashes from window - 1 lines before to as many after; low is the place of the first of those."""
+    """Rows (hash, id, h, low, around): each selected line and the hashes from window - 1 lines before to as many after; low is the place of the first of those."""
+    rows = keyed(docs, id_col, text_col)
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.int64())
         for part in chunks(batches, "text"):
-            rows = ([], [], [], [])
+            found = ([], [], [], [])
             _, all_hashes, bounds = lines(*flat(part.column("text")))
-            for i, a, b in zip(part.column("id").to_pylist(), bounds, bounds[1:]):
+            for i, (a, b) in enumerate(zip(bounds, bounds[1:])):
                 hashes = all_hashes[a:b]
                 signed = hashes.view(np.int64)
                 for k in winnow(hashes, window).tolist():
                     low = max(k - window + 1, 0)
-                    for column, x in zip(rows, (int(signed[k]), i, low, signed[low : k + window])):
+                    for column, x in zip(found, (int(signed[k]), i, low, signed[low : k + window])):
                         column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.int32()), pa.array(rows[3], kind)], ["hash", "id", "low", "around"])
+            at = pa.array(found[1], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), part.column("id").take(at), part.column("h").take(at), pa.array(found[2], pa.int32()), pa.array(found[3], kind)], ["hash", "id", "h", "low", "around"])
 
-    rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-    return rows.mapInArrow(work, "hash long, id long, low int, around array<long>")
+    return rows.mapInArrow(work, f"hash long, id {rows.schema['id'].dataType.simpleString()}, h long, low int, around array<long>")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """docs with repeated runs of lines deleted from the texts, and columns __parts (lines), __removed (of them) and __spans (code points of the old text).
 
-    A line goes if it is in a run of `window` lines (blank ones don't count) that occurs before, by (doc_id, line
-    number), in another document or the same one; so maximal repeated runs go whole. Rows are neither dropped nor added.
+    A line goes if it is in a run of `window` lines (blank ones don't count) that occurs before, by (doc_id, hash of the
+    text, line number), in another document or the same one; so maximal repeated runs go whole. Rows are neither dropped
+    nor added.
 
-    Nulls: a null text stays null; rows without id are not read for runs and stay as they are. Repeated rows of one
-    doc_id are one document. Other columns are kept, whatever their names (but for the three added).
+    Nulls: a null text stays null; rows without id are not read for runs and stay as they are. Empty texts stay empty, and
+    texts of any length are read whole. A document is known by its doc_id and its text: repeated rows are one document, and
+    rows that share a doc_id but not their text are documents of their own. doc_id may be of any type with an order. Other
+    columns are kept, whatever their names (but for the three added). An empty table gives an empty table.
     """
     found = durable(anchors(docs, id_col, text_col, window))
     # Hot lines are summed before the shuffle. Sums are kept as tables, so that joins have a shuffle on both sides and AQE
@@ -85,8 +89,10 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     near = found.join(shared, "hash", "left_semi")
     steps = F.sequence(F.lit(0), F.size("around") - window)
     run = F.transform(steps, lambda s: F.struct(F.slice("around", s + 1, window).alias("run"), (F.col("low") + s).alias("start")))
-    runs = durable(near.select("id", F.inline(run)).distinct())
-    where = F.struct("id", "start")
+    runs = durable(near.select("id", "h", F.inline(run)).distinct())
+    let_go(found, shared)
+    where = F.struct("id", "h", "start")
     repeated = durable(runs.groupBy("run").agg(F.count("*").alias("n"), F.min(where).alias("first")).where("n > 1").drop("n"))
-    later = runs.join(repeated, "run").where(where > F.col("first")).select("id", "start", (F.col("start") + window).alias("end"))
+    later = durable(runs.join(repeated, "run").where(where > F.col("first")).select("id", "h", "start", (F.col("start") + window).alias("end")))
+    let_go(runs, repeated)
     return remove_runs(docs, later, parts, id_col, text_col)

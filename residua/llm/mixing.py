@@ -15,13 +15,19 @@ from pyspark.sql import functions as F
 
 from residua.llm._common import durable
 
-#: Most sources for which the table of rates is broadcast (about 1 kB each); beyond it, rates are joined by a shuffle.
-BROADCAST_SOURCES = 20_000
-
-
-def uniform(seed: int, key: Column, fallback: Column) -> Column:
-    """A number in (0, 1) from 52 bits of the MD5 of seed and key."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.concat(F.lit("null:"), F.coalesce(fallback.cast("string"), F.lit(""))))))
+#: Bytes up to which the table of rates is broadcast; beyond it, rates are joined by a shuffle.
+BROADCAST_BYTES = 32 << 20
+#: A larger mean rate is the sum of the counts of parts of equal rates, so no row has more than about MOST_RATE copies at
+#: once. PART numbers the copies of a part: no count of MOST_RATE reaches it.
+MOST_RATE, PART = 500, 1024
+
+
+def uniform(seed: int, key: Column, fallback: Column, part: Column | None = None) -> Column:
+    """A number in (0, 1) from 52 bits of the MD5 of seed and key, and of the part's number but for the first part."""
+    text = [F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.concat(F.lit("null:"), F.coalesce(fallback.cast("string"), F.lit(""))))]
+    if part is not None:
+        text.append(F.when(part == 0, "").otherwise(F.concat(F.lit("#"), part.cast("string"))))
+    digest = F.md5(F.concat(*text))
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / F.lit(2.0**52)
 
 
@@ -62,20 +68,39 @@ def rates(docs: DataFrame, weights: Mapping[str, float], default_weight: float =
 
 
 def mix(docs: DataFrame, weights: Mapping[str, float], default_weight: float = 1.0, total: float | None = None, seed: int = 17, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", copy_name: str = "copy", shuffle: bool = True) -> DataFrame:
-    """docs with each row repeated by its Poisson count (0 drops it) and a column `copy` (int, from 0), in a global random order.
+    """docs with each row repeated by its Poisson count (0 drops it) and a column `copy` (long, different for each copy of a row), in a global random order.
+
+    A count at a mean rate over MOST_RATE is the sum of the counts of parts, each inverted at a number of its own: sums of
+    Poisson counts are Poisson counts. The rows of such sources are dealt out by their parts before they are copied.
+    copy is the number within the part, plus PART for each part before.
 
-    Nulls: rows without id are drawn by their text (null: empty); a null source is a source of its own. Repeated rows of
-    an id get equal counts. A column of docs named like `copy_name` is replaced. An empty table gives an empty table.
+    Nulls: rows without id are drawn by their text (null: empty); a null source is a source of its own. Texts are not
+    changed, however long. Repeated rows of an id get equal counts. A column of docs named like `copy_name` is replaced.
+    An empty table gives an empty table.
     """
-    of = rates(docs, weights, default_weight, source_col, total).where("rate > 0")
-    first, steps = poisson_steps(F.col("rate"))
-    of = of.select(F.col("source").alias("__residua_source"), first.alias("__residua_first"), steps.alias("__residua_steps"))
-    of = F.broadcast(of) if of.count() <= BROADCAST_SOURCES else of
+    known = rates(docs, weights, default_weight, source_col, total).where("rate > 0")
+    parts = F.greatest(F.ceil(F.col("rate") / MOST_RATE), F.lit(1)).cast("long")
+    first, steps = poisson_steps(F.col("rate") / parts)
+    of = durable(known.select(F.col("source").alias("__residua_source"), parts.alias("__residua_parts"), first.alias("__residua_first"), steps.alias("__residua_steps")))
+    sizes = of.agg(F.sum(8 * F.size("__residua_steps") + F.coalesce(F.length("__residua_source"), F.lit(0)) + 80).alias("bytes"), F.max("__residua_parts").alias("parts")).first()
+    of = F.broadcast(of) if (sizes["bytes"] or 0) <= BROADCAST_BYTES else of
     kept = [c for c in docs.columns if c != copy_name]
     columns = [F.col(f"`{c}`") for c in kept]
-    drawn = docs.withColumn("__residua_u", uniform(seed, F.col(id_col), F.col(text_col))).join(of, F.col(source_col).cast("string").eqNullSafe(F.col("__residua_source")))
-    count = F.col("__residua_first") + F.size(F.filter("__residua_steps", lambda p: p < F.col("__residua_u")))
-    copies = drawn.withColumn("__residua_n", count).where("__residua_n > 0").select(*columns, F.explode(F.expr("sequence(0, __residua_n - 1)")).alias(copy_name))
+    rows = docs.join(of, F.col(source_col).cast("string").eqNullSafe(F.col("__residua_source"))).drop("__residua_source")
+
+    def copied(rows: DataFrame, part: Column) -> DataFrame:
+        count = F.col("__residua_first") + F.size(F.filter("__residua_steps", lambda p: p < F.col("__residua_u")))
+        drawn = rows.withColumn("__residua_u", uniform(seed, F.col(id_col), F.col(text_col), part)).withColumn("__residua_n", count).where("__residua_n > 0")
+        number = F.explode(F.expr("sequence(0, __residua_n - 1)")).alias("__residua_k")
+        return drawn.select(*columns, part.alias("__residua_part"), number).select(*columns, (F.col("__residua_part") * PART + F.col("__residua_k")).alias(copy_name))
+
+    copies = copied(rows.where("__residua_parts = 1"), F.lit(0).cast("long"))
+    if (sizes["parts"] or 0) > 1:
+        # Parts are numbered in two steps, so that no row holds an array of all of them.
+        many = rows.where("__residua_parts > 1").withColumn("__residua_block", F.explode(F.expr("sequence(0, (__residua_parts - 1) div 10000)")))
+        many = many.withColumn("__residua_part", F.explode(F.expr("sequence(__residua_block * 10000, least(__residua_block * 10000 + 9999, __residua_parts - 1))")))
+        dealt = many.repartition(F.xxhash64(F.col(id_col), F.when(F.col(id_col).isNull(), F.col(text_col)), "__residua_part"))
+        copies = copies.unionByName(copied(dealt, F.col("__residua_part")))
     if not shuffle:
         return copies
     order = F.xxhash64(F.lit(seed), F.col(id_col), F.when(F.col(id_col).isNull(), F.col(text_col)), F.col(copy_name))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 from residua.llm import decontamination, line_dedup, mixing, phrases, quality, secrets, sentence_spans, sharding, simhash, toxicity
@@ -76,20 +78,50 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.selectExpr("doc_id", "text", "__parts AS n_lines", "__removed AS n_removed", _span_texts("removed_spans"))
 
 
-ORACLE_SQL["op9_line_dedup"] = r"""
-WITH a AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents),
-b AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY k) - length(line) - 1 AS off, length(line) - length(regexp_replace(line, '^[\x09-\x0D\x20]+', '')) AS blank,
-  array_to_string(list_filter(string_split_regex(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x09-\x0D\x20]+'), lambda w: w <> ''), ' ') AS norm FROM a),
-c AS (SELECT doc_id, text, norm, (off + blank)::BIGINT AS start, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS idx FROM b WHERE norm <> ''),
-d AS (SELECT *, coalesce(lead(start) OVER w, length(text)) AS stop, lead(norm, 1) OVER w AS norm1, lead(norm, 2) OVER w AS norm2 FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY idx)),
-r AS (SELECT doc_id, idx, row_number() OVER (PARTITION BY norm, norm1, norm2 ORDER BY doc_id, idx) AS nth FROM d WHERE norm2 IS NOT NULL),
-g AS (SELECT DISTINCT doc_id, idx + j AS idx FROM r, range(3) AS t(j) WHERE nth > 1),
-e AS (SELECT d.*, g.idx IS NOT NULL AS gone FROM d LEFT JOIN g ON g.doc_id = d.doc_id AND g.idx = d.idx),
-s AS (SELECT doc_id, min(start) AS a, max(stop) AS b FROM (SELECT *, idx - row_number() OVER (PARTITION BY doc_id ORDER BY idx) AS island FROM e WHERE gone) GROUP BY doc_id, island),
-t AS (SELECT doc_id, string_agg(a || ':' || b, ',' ORDER BY a) AS removed_spans FROM s GROUP BY 1),
-f AS (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE gone) AS m, min(start) AS first, string_agg(substr(text, start + 1, stop - start), '' ORDER BY idx) FILTER (WHERE NOT gone) AS kept FROM e GROUP BY 1)
-SELECT o.doc_id, CASE WHEN coalesce(m, 0) = 0 THEN o.text ELSE substr(o.text, 1, first) || coalesce(kept, '') END AS text, coalesce(n, 0)::INT AS n_lines, coalesce(m, 0)::INT AS n_removed, coalesce(removed_spans, '') AS removed_spans
-FROM documents o LEFT JOIN f ON f.doc_id = o.doc_id LEFT JOIN t ON t.doc_id = o.doc_id"""
+_FOLD = "translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_DOCUMENTS = "SELECT DISTINCT doc_id, text, ('0x' || substr(md5(text), 1, 15))::BIGINT AS h FROM documents WHERE text IS NOT NULL"
+
+
+def _without(parts: str, gone: str, name: str) -> str:
+    """SQL for documents without the parts that `gone` (doc_id, h, idx) names; parts: rows (doc_id, h, text, idx, start, stop)."""
+    return f"""
+e AS (SELECT d.*, g.idx IS NOT NULL AS gone FROM {parts} d LEFT JOIN {gone} g ON g.doc_id = d.doc_id AND g.h = d.h AND g.idx = d.idx),
+s AS (SELECT doc_id, h, min(start) AS a, max(stop) AS b FROM (SELECT *, idx - row_number() OVER (PARTITION BY doc_id, h ORDER BY idx) AS island FROM e WHERE gone) GROUP BY doc_id, h, island),
+t AS (SELECT doc_id, h, string_agg(a || ':' || b, ',' ORDER BY a) AS removed_spans FROM s GROUP BY 1, 2),
+f AS (SELECT doc_id, h, count(*) AS n, count(*) FILTER (WHERE gone) AS m, min(start) AS first, string_agg(substr(text, start + 1, stop - start), '' ORDER BY idx) FILTER (WHERE NOT gone) AS kept FROM e GROUP BY 1, 2)
+SELECT o.doc_id, CASE WHEN coalesce(m, 0) = 0 THEN o.text ELSE substr(o.text, 1, first) || coalesce(kept, '') END AS text, coalesce(n, 0)::INT AS {name}, coalesce(m, 0)::INT AS n_removed, coalesce(removed_spans, '') AS removed_spans
+FROM (SELECT doc_id, text, ('0x' || substr(md5(coalesce(text, '')), 1, 15))::BIGINT AS h FROM documents) o
+LEFT JOIN f ON f.doc_id IS NOT DISTINCT FROM o.doc_id AND f.h = o.h LEFT JOIN t ON t.doc_id IS NOT DISTINCT FROM o.doc_id AND t.h = o.h"""
+
+
+_WIDE, _CLOSERS = sentence_spans.WIDE_STOPS, re.escape(sentence_spans.CLOSERS).replace("'", "''")
+_SPACED = r"[^\x20\x09-\x0D" + _WIDE
+_WORD = f"{_SPACED}]*[{_WIDE}][{_WIDE}{_CLOSERS}]*|{_SPACED}]+"
+
+# All sentences by their words; the shortest run from and to each; a run's later occurrences take its sentences away.
+ORACLE_SQL["op2_substring_dedup"] = rf"""
+WITH docs AS ({_DOCUMENTS}),
+a AS (SELECT doc_id, h, text, unnest(regexp_extract_all(text, '{_WORD}')) AS w, unnest(list_resize(string_split_regex(text, '{_WORD}'), len(regexp_extract_all(text, '{_WORD}')))) AS gap, unnest(range(len(regexp_extract_all(text, '{_WORD}')))) AS i FROM docs),
+b AS (SELECT *, (sum(length(gap) + length(w)) OVER p - length(w))::BIGINT AS start, lead(gap) OVER p AS behind, {_FOLD.format(x="w")} AS low, regexp_matches(w, '[.!?…{_WIDE}][{_CLOSERS}]*$') AS stops FROM a WINDOW p AS (PARTITION BY doc_id, h ORDER BY i)),
+c AS (SELECT *, behind IS NULL OR stops OR contains(behind, chr(10)) OR (NOT bool_or(stops) OVER (PARTITION BY doc_id, h) AND (('0x' || substr(hex(low), 1, 2))::INT + strlen(low)) % {sentence_spans.CUT} = 0) AS ends FROM b),
+d AS (SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY doc_id, h ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS idx FROM c),
+q AS (SELECT doc_id, h, text, idx, min(start) AS start, count(*) AS n, greatest(1, count(*) // {sentence_spans.WORDS}) AS u, string_agg(low, ' ' ORDER BY i) AS norm FROM d GROUP BY 1, 2, 3, 4),
+v AS (SELECT *, coalesce(lead(start) OVER p, length(text)) AS stop, sum(n) OVER p AS cn, sum(u) OVER p AS cu FROM q WINDOW p AS (PARTITION BY doc_id, h ORDER BY idx)),
+pairs AS (SELECT x.doc_id, x.h, x.idx AS a, y.idx AS b FROM v x JOIN v y ON x.doc_id = y.doc_id AND x.h = y.h AND y.idx BETWEEN x.idx AND x.idx + {sentence_spans.WORDS} WHERE y.cn - x.cn + x.n >= {sentence_spans.WORDS} AND y.cu - x.cu + x.u >= {sentence_spans.SENTENCES}),
+spans AS (SELECT doc_id, h, a, min(b) AS b FROM pairs GROUP BY 1, 2, 3 UNION SELECT doc_id, h, max(a) AS a, b FROM pairs GROUP BY doc_id, h, b),
+r AS (SELECT s.doc_id, s.h, s.a, s.b, string_agg(v.norm, ' ' ORDER BY v.idx) AS norm FROM spans s JOIN v ON v.doc_id = s.doc_id AND v.h = s.h AND v.idx BETWEEN s.a AND s.b GROUP BY 1, 2, 3, 4),
+first AS (SELECT norm, min((doc_id, h, a)) AS place FROM r GROUP BY 1),
+g AS (SELECT DISTINCT doc_id, h, unnest(range(a, b + 1)) AS idx FROM r JOIN first USING (norm) WHERE (doc_id, h, a) > place),{_without("v", "g", "n_sentences")}"""
+
+ORACLE_SQL["op9_line_dedup"] = rf"""
+WITH docs AS ({_DOCUMENTS}),
+a AS (SELECT doc_id, h, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM docs),
+b AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY doc_id, h ORDER BY k) - length(line) - 1 AS off, length(line) - length(regexp_replace(line, '^[\x09-\x0D\x20]+', '')) AS blank,
+  array_to_string(list_filter(string_split_regex({_FOLD.format(x="line")}, '[\x09-\x0D\x20]+'), lambda w: w <> ''), ' ') AS norm FROM a),
+c AS (SELECT doc_id, h, text, norm, (off + blank)::BIGINT AS start, row_number() OVER (PARTITION BY doc_id, h ORDER BY k) - 1 AS idx FROM b WHERE norm <> ''),
+d AS (SELECT *, coalesce(lead(start) OVER w, length(text)) AS stop, lead(norm, 1) OVER w AS norm1, lead(norm, 2) OVER w AS norm2 FROM c WINDOW w AS (PARTITION BY doc_id, h ORDER BY idx)),
+r AS (SELECT doc_id, h, idx, row_number() OVER (PARTITION BY norm, norm1, norm2 ORDER BY doc_id, h, idx) AS nth FROM d WHERE norm2 IS NOT NULL AND doc_id IS NOT NULL),
+g AS (SELECT DISTINCT doc_id, h, idx + j AS idx FROM r, range(3) AS t(j) WHERE nth > 1),{_without("d", "g", "n_lines")}"""
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,12 +133,14 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE_SQL["op10_mixing"] = f"""
 WITH w AS (SELECT * FROM (VALUES {", ".join(f"('{k}', {v}::DOUBLE)" for k, v in WEIGHTS.items())}) AS t(source, weight)),
 n AS (SELECT source, count(*) AS n FROM documents GROUP BY 1),
-r AS (SELECT n.source, coalesce(weight, 1.0) / sum(coalesce(weight, 1.0)) OVER () * sum(n) OVER () / n AS rate FROM n LEFT JOIN w USING (source)),
-s AS (SELECT source, rate, k, exp(k * ln(rate) - rate - lgamma(k + 1)) AS p FROM r, range(0, (SELECT ceil(max(rate) + 9 * sqrt(max(rate)) + 30)::BIGINT FROM r)) AS x(k)),
+r AS (SELECT n.source, coalesce(weight, 1.0) / sum(coalesce(weight, 1.0)) OVER () * sum(n) OVER () / n AS whole FROM n LEFT JOIN w USING (source)),
+q AS (SELECT source, ceil(whole / {mixing.MOST_RATE})::BIGINT AS parts, whole / ceil(whole / {mixing.MOST_RATE}) AS rate FROM r),
+s AS (SELECT source, rate, k, exp(k * ln(rate) - rate - lgamma(k + 1)) AS p FROM q, range(0, (SELECT ceil(max(rate) + 9 * sqrt(max(rate)) + 30)::BIGINT FROM q)) AS x(k)),
 c AS (SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS below FROM s),
-d AS (SELECT doc_id, source, md5(coalesce(text, '')) AS text_md5, (('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, 'null:' || coalesce(text, ''))), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u FROM documents),
-t AS (SELECT d.doc_id, d.source, d.text_md5, d.u, count(c.k) FILTER (WHERE c.below < d.u) AS times FROM d JOIN c ON d.source IS NOT DISTINCT FROM c.source GROUP BY ALL)
-SELECT doc_id, source, unnest(range(0, times))::INT AS copy, text_md5 FROM t"""
+e AS (SELECT doc_id, documents.source, text, unnest(range(parts)) AS part FROM documents JOIN q ON documents.source IS NOT DISTINCT FROM q.source),
+d AS (SELECT doc_id, source, part, md5(coalesce(text, '')) AS text_md5, (('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, 'null:' || coalesce(text, '')) || CASE WHEN part = 0 THEN '' ELSE '#' || part END), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u FROM e),
+t AS (SELECT d.doc_id, d.source, d.part, d.text_md5, d.u, count(c.k) FILTER (WHERE c.below < d.u) AS times FROM d JOIN c ON d.source IS NOT DISTINCT FROM c.source GROUP BY ALL)
+SELECT doc_id, source, part * {mixing.PART} + unnest(range(0, times)) AS copy, text_md5 FROM t"""
 
 
 QUERIES = {

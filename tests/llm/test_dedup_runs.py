@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 
@@ -8,10 +9,10 @@ import pytest
 from residua.llm import line_dedup, sentence_spans
 from residua.llm._common import flat
 from residua.llm._spans import cut, merged
-from residua.llm._words import spaced_words
 from residua.llm.line_dedup import winnow
-from residua.llm.queries import QUERIES
-from residua.llm.sentence_spans import CUT, LONGEST
+from residua.llm.queries import ORACLE_SQL, QUERIES
+from residua.llm.sentence_spans import CLOSERS, CUT, STOPS, WIDE_STOPS
+from tests.oracle import same
 
 SCHEMA = "doc_id long, text string, id string, start int, `end` int, h1 string, run string"
 
@@ -19,7 +20,8 @@ SCHEMA = "doc_id long, text string, id string, start int, `end` int, h1 string,
 def corpus(line_based):
     draw = random.Random(4)
     word = lambda: "".join(draw.choice("abcdéfg") for _ in range(draw.randint(1, 7)))
-    sentence = lambda: " ".join(word() for _ in range(draw.randint(1, 26))) + draw.choice(".!?")
+    end = lambda: draw.choice([".", "!", "?", '."', "!)", "\u2026", "?\u201d", "\u3002", "\uff01\u300d"])
+    sentence = lambda: " ".join(word() for _ in range(draw.randint(1, 26))) + end()
     shared = [[sentence() for _ in range(draw.randint(1, 7))] for _ in range(12)]
     rows = []
     for i in range(150):
@@ -27,6 +29,10 @@ def corpus(line_based):
         for _ in range(draw.randint(0, 6)):
             parts += draw.choice(shared) if draw.random() < 0.5 else [sentence() for _ in range(draw.randint(1, 5))]
         rows.append(((i * 7919) % 1000, ("\n" if line_based else draw.choice([" ", "\n", "\n\n "])).join(parts)))
+    wide = "".join(word() + draw.choice("\u3002\uff01\uff1f") + draw.choice(["", "\u300d", ")"]) for _ in range(60))
+    loose = " ".join(word() for _ in range(300))
+    rows += [(6000, wide), (6001, "x y. " + wide), (6002, ")) " + wide + " \u201d"), (6003, loose), (6004, loose + " more"), (6005, "start of it " + loose)]
+    rows += [(rows[5][0], rows[9][1] + " tail."), (rows[5][0], "a text of its own, under an id that another has. " * 3), (rows[5][0], rows[7][1])]
     rows += [rows[3], rows[3], (5000, "a. " * 200), (5001, "line\n" * 50), (5002, None), (5003, ""), (5004, " \n\n"), (5005, "no stop " * 400), (5006, "no stop " * 400), (5007, "x" * 30_000)]
     return [(i, t, "a", 1, 2, "b", "c") for i, t in rows] + [(None, rows[1][1], None, None, None, None, None)]
 
@@ -35,27 +41,26 @@ def words_of(text):
     return [(m.start(), m.end()) for m in re.finditer(r"[^ \t-\r]+", text)]
 
 
-def plain(text, a, b):
-    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text[a:b])
+_C = re.escape(CLOSERS)
+WORD = re.compile(rf"[^ \t-\r{WIDE_STOPS}]*[{WIDE_STOPS}][{WIDE_STOPS}{_C}]*|[^ \t-\r{WIDE_STOPS}]+")
+ENDS = re.compile(rf"[{STOPS}{WIDE_STOPS}][{_C}]*$")
 
 
-def hash_of(word):
-    return int(spaced_words(*flat(pa.array([word])))[2][0])
+def plain(text, a, b):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text[a:b])
 
 
 def sentences(text):
     """Lists of (start, end, word): the sentences of a text, in plain Python."""
     out, now = [], []
-    words = words_of(text)
+    words = [(m.start(), m.end()) for m in WORD.finditer(text)]
+    stops = [bool(ENDS.search(text[a:b])) for a, b in words]
     for k, (a, b) in enumerate(words):
         now.append((a, b, plain(text, a, b)))
-        if text[b - 1] in ".!?" or k + 1 == len(words) or "\n" in text[b : words[k + 1][0]]:
-            pieces = [[]]
-            for w in now:
-                pieces[-1].append(w)
-                if len(now) > LONGEST and hash_of(w[2]) % CUT == 0:
-                    pieces.append([])
-            out += [p for p in pieces if p]
+        raw = now[-1][2].encode()
+        cut = not any(stops) and (raw[0] + len(raw)) % CUT == 0
+        if stops[k] or cut or k + 1 == len(words) or "\n" in text[b : words[k + 1][0]]:
+            out.append(now)
             now = []
     return out
 
@@ -85,17 +90,18 @@ def line_runs(text):
 
 
 def brute(rows, parts, keys):
-    """keys(text): (key, start, end) of each run; removes what later runs cover."""
+    """keys(text): (key, start, end) of each run; removes what later runs cover. A document is an id with a text."""
     seen, runs = {}, {}
+    place = lambda i, t, a: (i, int(hashlib.md5(t.encode()).hexdigest()[:15], 16), a)
     for i, t in {(r[0], r[1]) for r in rows if r[0] is not None and r[1] is not None}:
-        runs[i] = keys(t)
-        for key, a, _ in runs[i]:
-            seen[key] = min(seen.get(key, (i, a)), (i, a))
+        runs[i, t] = keys(t)
+        for key, a, _ in runs[i, t]:
+            seen[key] = min(seen.get(key, place(i, t, a)), place(i, t, a))
     out = []
     for i, t, *_ in rows:
         own = parts(t or "")
         starts = [p[0][0] for p in own] + [len(t or "")]
-        gone = {k for key, a, b in runs.get(i, []) if seen[key] != (i, a) for k in range(a, b)}
+        gone = {k for key, a, b in runs.get((i, t), []) if seen[key] != place(i, t, a) for k in range(a, b)}
         new = t if t is None else t[: starts[0]] + "".join(t[starts[k] : starts[k + 1]] for k in range(len(own)) if k not in gone)
         out.append((i, new, len(own), len(gone), sum(starts[k + 1] - starts[k] for k in gone)))
     return sorted(out, key=str)
@@ -132,12 +138,38 @@ def test_winnow_takes_the_last_of_equal_minima():
 def test_pieces():
     assert merged([(5, 6), (0, 2), (1, 3)]) == [(0, 3), (5, 6)]
     assert cut(b"One a. Two b! Three v1.2 c  Four", [0, 7, 14, 28], [(1, 3)])[:2] == (b"One a. Four", 2)
-    words = [f"w{k}" for k in range(200)]
+    draw = random.Random(3)
+    words = ["".join(draw.choice("abcdefghijklm") for _ in range(draw.randint(1, 9))) for _ in range(200)]
     texts = [" ".join(words[k:]) for k in (0, 1)]
     first, bounds = sentence_spans.parts(*flat(pa.array(texts)))
     assert bounds[1] > 15 and (first[: bounds[1]][1:] - len(texts[0]) + len(texts[1])).tolist()[-15:] == (first[bounds[1] :] - len(texts[0])).tolist()[-15:]
 
 
+def test_sentences_are_whole():
+    texts = ["One two. \"Three four.\" (Five!) six\u2026 seven?\u201d Eight", "\u4ed6\u8bf4\u3002\u300c\u597d\uff01\u300d\u7136\u540e", ")x y.", "long " * 90 + "end. B", "", "."]
+    data, offsets = flat(pa.array(texts))
+    first, bounds = sentence_spans.parts(data, offsets)
+    cuts = [[data[a:b].tobytes().decode().strip() for a, b in zip(f, [*f[1:], e])] for f, e in ((first[x:y], offsets[k + 1]) for k, (x, y) in enumerate(zip(bounds, bounds[1:])))]
+    assert cuts == [["One two.", '"Three four."', "(Five!)", "six\u2026", "seven?\u201d", "Eight"], ["\u4ed6\u8bf4\u3002", "\u300c\u597d\uff01\u300d", "\u7136\u540e"], [")x y."], ["long " * 90 + "end.", "B"], [], ["."]]
+
+
+@pytest.mark.parametrize("name", ["op2_substring_dedup", "op9_line_dedup"])
+def test_sql_holds_with_shared_ids(spark, tmp_path, name):
+    rows = [r[:2] for r in corpus(name.startswith("op9")) if r[0] is not None]
+    (tmp_path / "d").mkdir()
+    docs = spark.createDataFrame(list(dict.fromkeys(rows)), "doc_id long, text string")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/d/documents.parquet")
+    same(spark, QUERIES[name], ORACLE_SQL[name], f"{tmp_path}/d")
+
+
+def test_ids_of_any_type(spark):
+    text = "\n".join(f"line {k} has some words of its own, and it ends here." for k in range(8))
+    docs = spark.createDataFrame([("a-1", text), ("b-2", text), ("b-2", "unique tail here. " * 9)], "doc_id string, text string")
+    for module in (sentence_spans, line_dedup):
+        got = sorted(map(tuple, module.dedup(docs).select("doc_id", "__removed").collect()))
+        assert [x for x, _ in got] == ["a-1", "b-2", "b-2"] and got[0][1] == 0 and max(n for _, n in got[1:]) >= 7
+
+
 def test_a_passage_across_documents_goes_but_once(spark):
     draw = random.Random(1)
     say = lambda n: " ".join(f"w{draw.randrange(10**6)}" + ("." if k % 9 == 8 else "") for k in range(n))

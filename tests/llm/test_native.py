@@ -7,6 +7,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from residua.llm import mixing, secrets, sharding
 
@@ -23,22 +24,25 @@ def base_spans(text):
 
 
 def brute_scan(rows):
-    found, owners = [], {}
-    for i, t, source, *_ in rows:
+    found, owners, repositories = [], {}, {}
+    for i, t, source, lang, *_ in rows:
         t = t or ""
         base = base_spans(t)
         wide = [(m.start(), 3, m.end(), m.group()) for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", t)]
         wide = [w for w in wide if re.search("[0-9]", w[3]) and re.search("[A-Za-z]", w[3]) and re.search("[^0-9a-f]", w[3]) and not any(b[0] < w[2] and w[0] < b[2] for b in base)]
         for s in base + wide:
             owners.setdefault(s[3], set()).add(source or "")
+            repositories.setdefault(s[3], set()).add((source or "", lang or ""))
         found.append((i, base, wide))
     out = []
     for i, base, wide in found:
-        live = lambda s: len(owners[s[3]]) == 1 and len(set(s[3])) >= 10
+        live = lambda s: len(owners[s[3]]) == 1 and len(repositories[s[3]]) <= 2 and len(set(s[3])) >= 10
+        copied = lambda s: len(owners[s[3]]) >= 3 or len(repositories[s[3]]) >= 4
+        most = lambda of: max((len(of[s[3]]) for s in base + wide), default=0)
         text = lambda spans: ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b, _ in sorted(spans))
         added = [w for w in wide if live(w)]
         n = Counter(KINDS[s[1]] for s in base)
-        out.append((i, n["assign"], n["access"], n["hex"], hashlib.sha256(text(base).encode()).hexdigest(), text(base + added), len(added), sum(len(owners[s[3]]) >= 3 for s in base), sum(map(live, base))))
+        out.append((i, n["assign"], n["access"], n["hex"], hashlib.sha256(text(base).encode()).hexdigest(), text(base + added), len(added), sum(map(copied, base)), sum(map(live, base)), most(owners), most(repositories)))
     return sorted(out, key=str)
 
 
@@ -51,8 +55,12 @@ def test_secrets_against_brute_force(spark):
     ]
     rows = [(k, " ".join(draw.choice(bits) for _ in range(draw.randint(0, 9))), draw.choice(["a", "b", "c", "d", None]), draw.choice(["en", None]), "x") for k in range(150)]
     rows += [(900, None, None, None, None), (901, "", "a", "en", "x"), (902, " ".join(f"{hexes[1]} token={k}abcdefgh" for k in range(700)), "a", "en", "x"), (7, rows[7][1], "e", "en", "x"), (7, rows[7][1], "e", "en", "x"), (None, "token=abcdefgh1", "a", "en", "x")]
+    rows += [(1000 + k, "api_key: 9f8Kd02lsQz7x11 and Zk39dkEOd02lsKDoe93kdlLA0s", "one", f"l{k % n}", "x") for n in (5,) for k in range(6)] + [(1100 + k, "api_key: 7f8Kd02lsQz7x11", "two", f"l{k % 2}", "x") for k in range(4)]
     got = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, owner string"))
     assert sorted(map(tuple, got.collect()), key=str) == brute_scan(rows)
+    of = {r.doc_id: r for r in got.collect()}
+    assert (of[1000].n_copied, of[1000].n_specific, of[1000].n_owned, of[1000].most_owners, of[1000].most_repositories) == (1, 0, 0, 1, 5)
+    assert (of[1100].n_copied, of[1100].n_specific, of[1100].most_repositories) == (0, 1, 2)
     assert secrets.scan(spark.createDataFrame([], "doc_id long, text string, source string, lang string")).count() == 0
 
 
@@ -139,9 +147,28 @@ def test_mixing_against_brute_force(spark):
         mixing.rates(df, {"a": -1.0})
 
 
-def test_poisson_steps_cover_small_and_large_rates(spark):
-    from pyspark.sql import functions as F
+def test_large_rates_are_sums_of_parts(spark):
+    rows = [(k, "heavy") for k in range(3)] + [(100 + k, "light") for k in range(5000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string").withColumn("text", F.lit("t"))
+    got = mixing.mix(df, {"heavy": 1.0, "light": 1.0}, total=12_000, shuffle=False)
+    counts = Counter(r.doc_id for r in got.where("source = 'heavy'").select("doc_id").collect())
+    parts = -(-2000 // mixing.MOST_RATE)
+    for i in range(3):
+        want = 0
+        for j in range(parts):
+            u = (int(hashlib.md5(f"17:{i}{f'#{j}' if j else ''}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+            want += brute_count(u, 2000 / parts)
+        assert counts[i] == want and abs(want - 2000) < 300
+    assert got.where("source = 'heavy'").select("doc_id", "copy").distinct().count() == sum(counts.values())
+
+
+def test_one_document_at_a_rate_of_ten_million(spark):
+    df = spark.createDataFrame([(1, "tiny", "t"), (2, "big", "t")], "doc_id long, source string, text string")
+    got = mixing.mix(df, {"tiny": 1.0, "big": 1.0}, total=2e7, shuffle=False).groupBy("doc_id").agg(F.count("*").alias("n")).collect()
+    assert all(abs(r.n - 10**7) < 20_000 for r in got) and len(got) == 2
 
+
+def test_poisson_steps_cover_small_and_large_rates(spark):
     for rate in (0.001, 0.7, 19.5, 400.0, 30_000.0):
         first, steps = mixing.poisson_steps(F.lit(rate))
         r = spark.range(1).select(first.alias("f"), steps.alias("s")).first()
