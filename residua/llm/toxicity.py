@@ -21,6 +21,8 @@ from residua.llm._common import chunks, text_or_empty
 
 #: The bounds of the labelled sample: rows, and code points of their texts together. It is taken in the order of a hash of doc_id; texts are used whole.
 SAMPLE_ROWS, SAMPLE_CHARS = 6000, 18_000_000
+#: So many labelled rows of each class come first.
+_EACH_CLASS = 32
 #: Neutral n-grams that each text's average has besides its own, so a short text needs more than one odd n-gram.
 PRIOR = 1500
 BITS = 18
@@ -41,21 +43,33 @@ def is_held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def bounded(docs: DataFrame, labels: DataFrame, rows: int, chars: int, how: str = "inner") -> DataFrame:
-    """docs (doc_id, text, ...) with the columns of labels (unique doc_id), for at most `rows` doc_ids with at most `chars` code points together, in the order of a hash of doc_id.
+def bounded(docs: DataFrame, labels: DataFrame, rows: int, chars: int, value: str) -> DataFrame:
+    """docs (doc_id, text, ...) with the columns of labels (unique doc_id): one row for each of at most `rows` doc_ids, with at most `chars` code points together.
 
-    how: left_anti takes documents without a label. Documents are chosen by id and length alone; texts aren't shuffled.
+    doc_ids are taken in the order of a hash, the first few of each `value` before others, so that no class is left out; a
+    text that doesn't fit any more is passed over. Documents are chosen by id and length alone, among 64 times as many
+    labels at most where labels have no document. Of rows that share a doc_id the one with the smallest hash of its text counts.
     """
-    sized = docs.groupBy("doc_id").agg(F.max(F.length("text")).alias("n")).join(labels.select("doc_id"), "doc_id", how)
-    chosen = sized.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).collect()  # the bound of the sample
-    total, kept = 0, []
-    for r in chosen:
-        total += r["n"]
-        if total > chars and kept:
+    spark, order = docs.sparkSession, F.xxhash64("doc_id")
+    classes = [r[0] for r in labels.select(value).distinct().limit(16).collect()]
+    ahead = {r[0] for c in classes for r in labels.where(F.col(value) == c).orderBy(order, "doc_id").limit(_EACH_CLASS).select("doc_id").collect()}
+    want = 2 * rows
+    while True:
+        some = ahead | {r[0] for r in labels.orderBy(order, "doc_id").limit(want).select("doc_id").collect()}  # the bound of the sample
+        ids = spark.createDataFrame([(i,) for i in some], "doc_id long")
+        sized = docs.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.max(F.length("text")).alias("n")).withColumn("order", order).collect()
+        if len(sized) >= rows or len(some) < want or want >= 64 * rows:
             break
-        kept.append((r["doc_id"],))
-    ids = docs.sparkSession.createDataFrame(kept, "doc_id long")
-    return docs.join(F.broadcast(ids.join(labels, "doc_id", "left")), "doc_id")
+        want *= 8
+    total, kept = 0, []
+    for r in sorted(sized, key=lambda r: (r["doc_id"] not in ahead, r["order"], r["doc_id"])):
+        if len(kept) < rows and (total + r["n"] <= chars or not kept):
+            total += r["n"]
+            kept.append((r["doc_id"],))
+    chosen = docs.join(F.broadcast(spark.createDataFrame(kept, "doc_id long")), "doc_id")
+    others = [c for c in docs.columns if c != "doc_id"]
+    one = chosen.groupBy("doc_id").agg(F.min_by(F.struct(*others), F.xxhash64(*others)).alias("row")).select("doc_id", "row.*")
+    return one.join(F.broadcast(labels.join(F.broadcast(spark.createDataFrame(kept, "doc_id long")), "doc_id")), "doc_id")
 
 
 def in_one_task(sample: DataFrame, work, schema: str) -> list:
@@ -63,11 +77,12 @@ def in_one_task(sample: DataFrame, work, schema: str) -> list:
     return sample.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), *sample.columns).mapInArrow(work, schema).collect()
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> Model:
-    """A model from labels (doc_id, toxic) that are not held out. Conflicting labels of a document count as toxic; labels without document, id or value don't count."""
+def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """A model from labels (doc_id, toxic) that are not held out; ids are integers. Conflicting labels of a document count as toxic; labels without document, id or value don't count. Without labels of both classes all texts get one score, by the labels' share."""
     given = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~is_held_out())
-    given = given.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("label"))
-    sample = bounded(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")), given, rows, chars)
+    given = given.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("label"))
+    named = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    sample = bounded(named, given, rows, chars, "label")
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bags, known = [], []
@@ -82,7 +97,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (doc_id, score), one for each row of docs. Null and empty texts get the score of a text without words. Other columns are not read."""
+    """Rows (doc_id, score), one for each row of docs. Null and empty texts get the score of a text without words; texts of any length are read whole. Repeated rows give repeated rows, an empty table gives no rows. Other columns are not read."""
     held = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -94,14 +109,19 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Rows (doc_id, held_out, score, predicted), one for each row of docs. Scores depend on texts alone."""
+    """Rows (doc_id, held_out, score, predicted), one for each row of docs. Scores depend on texts alone.
+
+    Null texts are empty; empty texts get the score of a text without words; texts of any length are scored whole. A row
+    without doc_id is scored and not held out. Repeated rows give repeated rows; rows that share a doc_id are scored each.
+    Other columns are not read, whatever their names. An empty table gives no rows.
+    """
     scored = score(docs, fit(docs, labels))
     return scored.select("doc_id", is_held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """The rows of docs with a score under the threshold, unchanged and with all columns, in one pass and without a shuffle."""
-    held = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs with a score under the threshold, unchanged and with all columns, in one pass and without a shuffle. Nulls, empty texts, repeated rows and empty tables are as in classify()."""
+    held = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col=id_col, text_col=text_col))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, text_col):

@@ -1,9 +1,12 @@
 import random
 
+import zlib
+
 import numpy as np
-import pyarrow as pa
+import pytest
 
-from residua.llm.quality import FIELDS, VALUES, fit, metadata_bins, score
+from residua.llm._common import table
+from residua.llm.quality import VALUES, _views, fit, score
 
 
 def made(spark, n=800):
@@ -46,7 +49,46 @@ def test_odd_tables(spark):
     assert fit(docs.where("false"), labels)
 
 
-def test_metadata_bins_are_fields_of_their_own():
-    batch = pa.record_batch({"text": ["A b\n1!", None], "lang": ["en", None], "source": [None, "s"], "n_chars": pa.array([6, None], pa.int64())})
-    bins = metadata_bins(batch)
-    assert bins.shape == (2, FIELDS) and (bins // VALUES == np.arange(FIELDS)).all()
+def test_metadata_is_a_view_of_its_own(spark):
+    rows = [(1, "some text", "en", "a", 9), (2, "OTHER, 12!\n", "en", "a", 9), (3, None, None, None, None), (4, "", "en", "b", 10_000)]
+    pages = {r.doc_id: r.page for r in _views(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "doc_id", "text", ("source", "lang", "n_chars")).collect()}
+    assert pages[1] == pages[2] and len(pages[3]) == 5 and pages[1][1] == pages[4][1] and pages[1][0] != pages[4][0]
+    assert all(k * VALUES <= b < (k + 1) * VALUES for p in pages.values() for k, b in enumerate(p))
+
+
+def test_views_teach_each_other(spark):
+    """Labels for few documents; the source tells the class, and the text does by words that labelled documents seldom have."""
+    draw = random.Random(9)
+    docs, labels = [], []
+    for i in range(3000):
+        bad = i % 3 == 0
+        words = ["".join(draw.choice("abcdefgh") for _ in range(draw.randint(2, 7))) for _ in range(40)]
+        if draw.random() < 0.8:
+            words[3:3] = [f"{'zz' if bad else 'yy'}{draw.randrange(400)}"] * 3
+        docs.append((i, " ".join(words), "en", f"{'bad' if bad else 'good'}{draw.randrange(3)}", 100))
+        if i % 25 == 0:
+            labels.append((i, int(not bad)))
+    d = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    l = spark.createDataFrame(labels, "doc_id long, quality int")
+    right = lambda model: np.mean([(r.score_text >= 0.5) == (r.doc_id % 3 != 0) for r in score(d, model).collect()])
+    alone, taught = right(fit(d, l, rounds=0)), right(fit(d, l, rounds=2, certain=0.9))
+    assert taught > alone + 0.02 and taught > 0.8, (alone, taught)
+
+
+def test_held_out_accuracy_of_each_view(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    truth = {r.doc_id: r.quality for r in labels.collect()}
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    model = fit(docs, spark.createDataFrame([(i, q) for i, q in truth.items() if not held(i)], "doc_id long, quality int"))
+    rows = [r for r in score(docs, model).collect() if r.doc_id in truth and held(r.doc_id)]
+    share = {n: np.mean([(r[n] >= 0.5) == (truth[r.doc_id] != 0) for r in rows]) for n in ("score", "score_text", "score_page")}
+    print(len(rows), share)
+    assert share["score"] > 0.9 and share["score_text"] > 0.9 and share["score_page"] > 0.7
+
+
+@pytest.mark.parametrize("times", [100_000])
+def test_one_id_many_times(spark, times):
+    docs, labels = made(spark, 300)
+    many = spark.range(times).selectExpr("1L AS doc_id", "'a text of one id' AS text", "'en' AS lang", "'s' AS source", "5L AS n_chars", "'x' AS score")
+    assert score(docs.union(many), fit(docs.union(many), labels, rounds=1)).count() == times + 300

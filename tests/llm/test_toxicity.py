@@ -6,7 +6,7 @@ import pyarrow as pa
 
 from residua.llm import _subwords
 from residua.llm._bag_model import logistic, sigmoid, train
-from residua.llm.toxicity import BITS, PRIOR, classify, drop_toxic, fit, score
+from residua.llm.toxicity import BITS, PRIOR, bounded, classify, drop_toxic, fit, score
 
 
 def small_corpus(n=900):
@@ -91,3 +91,14 @@ def test_training_pieces():
     y = (np.random.default_rng(0).random(200) < sigmoid(2 * x[:, 0] - 0.5)).astype(float)
     w = logistic(x, y)
     assert 1 < w[0] < 3
+
+
+def test_bounded_samples(spark):
+    rows = [(i, "x" * (5000 if i == 3 else 10)) for i in range(400)] + [(7, "of the same id")] * 20_000
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i == 390)) for i in range(500)], "doc_id long, label int")
+    got = bounded(docs, labels, 50, 1000, "label").collect()
+    assert len(got) == len({r.doc_id for r in got}) == 50 and {r.label for r in got} == {0, 1} and all(len(r.text) < 5000 for r in got)
+    assert sum(len(r.text) for r in got) <= 1000
+    assert len(bounded(docs, labels, 5000, 10**9, "label").collect()) == 400
+    assert bounded(docs.where("false"), labels, 50, 1000, "label").count() == 0
