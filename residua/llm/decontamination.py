@@ -192,8 +192,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, least_score: float = LEAST_SC
     """Rows (doc_id, item_id, score, first_word, end_word) for each document with a copy of a test item: score is the alignment's share of a whole copy's, and the words are those of the passage that was aligned.
 
     Nulls: null texts are empty; documents without id give rows with a null doc_id, items without id or words give none.
-    Repeated rows of a document or an item give one row for each pair of ids, the best. Other columns are not read. An
-    empty table gives no rows.
+    Empty texts hold no copy; texts of any length are searched whole. Repeated rows of a document or an item give one row
+    for each pair of ids, the best. Other columns are not read, whatever their names. An empty table gives no rows.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     found = docs.sparkSession.createDataFrame([], f"doc_id {kind}, item_id long, score double, first_word int, end_word int")
@@ -215,7 +215,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, least_score: float = LEAST_SC
 
 
 def drop_copies(docs: DataFrame, benchmark: DataFrame, least_score: float = LEAST_SCORE, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The rows of docs without a copy of a test item, unchanged and with all columns; one pass for each block of items, without a shuffle."""
+    """The rows of docs without a copy of a test item, unchanged and with all columns; one pass for each block of items, without a shuffle. Null and empty texts hold no copy and stay; repeated rows go or stay together; texts of any length are searched whole. An empty benchmark lets all rows stay."""
     kept = docs
     for block in blocks(benchmark, item_id_col, item_text_col, block_words, least_score):
         if not len(block.ids):

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from residua.llm._common import CHUNK_BYTES, mix, text_or_empty
 
@@ -111,7 +112,7 @@ def as_text(sketch: np.ndarray) -> str:
 
 
 def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (doc_id, fingerprint): one for each row of docs; null texts are empty and have the empty fingerprint. Other columns are not read."""
+    """Rows (doc_id, fingerprint): one for each row of docs. Null texts are empty and have the empty fingerprint; texts of any length are parsed whole. Repeated rows give repeated rows, an empty table gives no rows. Other columns are not read, whatever their names."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,11 +141,10 @@ def _in_order(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     base = Bucketizer(splits=splits, inputCol="at", outputCol="bucket", handleInvalid="keep").transform(base).withColumn("bucket", F.coalesce(F.col("bucket").cast("int"), F.lit(len(splits))))
     firsts = base.groupBy("bucket").agg(F.min("doc_id").alias("first")).orderBy("bucket").collect()  # at most one row for each bucket
     table = [(r["bucket"], r["first"], firsts[k - 1]["bucket"]) for k, r in enumerate(firsts)]
-    firsts = spark.createDataFrame(table, "bucket int, first long, before int")
-    own = F.struct(F.col("bucket").alias("bucket"), F.lit(0).alias("ahead"))
-    copy = F.struct(F.col("before").alias("bucket"), F.lit(1).alias("ahead"))
-    where = F.when(F.col("doc_id").eqNullSafe(F.col("first")), F.array(own, copy)).otherwise(F.array(own))
-    rows = base.join(F.broadcast(firsts), "bucket").select("doc_id", "text", F.inline(where))
+    firsts = F.broadcast(spark.createDataFrame(table, "bucket int, first long, before int"))
+    # Of the rows with a bucket's first id, the one with the smallest text is copied to the end of the bucket before.
+    ahead = base.join(firsts, "bucket").where(F.col("doc_id").eqNullSafe(F.col("first"))).groupBy("before").agg(F.max("doc_id").alias("doc_id"), F.min("text").alias("text"))
+    rows = base.select("bucket", F.lit(0).alias("ahead"), "doc_id", "text").unionByName(ahead.select(F.col("before").alias("bucket"), F.lit(1).alias("ahead"), "doc_id", "text"))
     return rows.repartition(parts, "bucket").sortWithinPartitions("bucket", "ahead", F.col("doc_id").asc_nulls_last(), "text")
 
 
@@ -153,8 +153,13 @@ def edited_and_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     The edited text has the last floor(n_chars / 4) code points replaced by the first as many (or all) of the next
     document by ascending doc_id; after the last comes the first. Rows without doc_id come last; rows of one doc_id are
-    ordered by text. A null text is empty. A lone document is its own next. Other columns are not read.
+    ordered by text, in one task. A null text is empty; texts of any length are parsed whole. A lone document is its own
+    next. Repeated rows give repeated rows, an empty table gives no rows. doc_id must be an integer. Other columns are not
+    read, whatever their names.
     """
+    if not isinstance(docs.schema[id_col].dataType, IntegralType):
+        raise TypeError(f"{id_col} must be an integer: the next document is that with the next larger one")
+
 
     def rows(held: list[tuple[int, str]], after: str) -> pa.RecordBatch:
         texts = [t for _, t in held] + [after]

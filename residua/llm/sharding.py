@@ -58,8 +58,9 @@ def place(docs: DataFrame, shards: Sequence[str], key_col: str = "doc_id", fallb
     """docs with two more columns, slot (int) and shard (string); rows are not moved, dropped or repeated.
 
     The placement depends on the key, the shards and the slots alone, so it is equal for every run and every split of the
-    input. Null keys are placed by the fallback column (null: empty). Repeated rows get the same shard. Columns of docs
-    that have the new names are replaced.
+    input. Null keys are placed by the fallback column (null: empty). Texts are not read unless a key is null, however
+    long they are. Repeated rows get the same shard. Columns of docs that have the new names are replaced. An empty table
+    gives an empty table.
     """
     spark: SparkSession = docs.sparkSession
     table = lookup_table(shards, slots)
@@ -73,6 +74,6 @@ def place(docs: DataFrame, shards: Sequence[str], key_col: str = "doc_id", fallb
 
 
 def write_shards(docs: DataFrame, path: str, shards: Sequence[str], **options) -> None:
-    """Writes docs as Parquet, one folder for each shard; rows of a shard are spread over tasks by slot, so no shard is one task."""
+    """Writes docs as Parquet, one folder for each shard. Tasks have ranges of shards and slots: few shards each, so files are large, and a large shard is in several tasks."""
     placed = place(docs, shards, **options)
-    placed.repartition("shard", "slot").write.partitionBy("shard").parquet(path)
+    placed.repartitionByRange("shard", "slot").write.partitionBy("shard").parquet(path)
