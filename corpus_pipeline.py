@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from residua.llm import decontamination, mixing, sharding, simhash, toxicity
-from residua.llm._common import durable, table
+from residua.llm._common import durable, let_go, table
 from residua.llm.queries import SHARDS, WEIGHTS
 
 
@@ -54,5 +54,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; the result is that of the last."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = durable(stage(spark, docs, sf_dir))
+        before, docs = docs, durable(stage(spark, docs, sf_dir))
+        let_go(before)
     return STAGES[-1][1](spark, docs, sf_dir)
