@@ -1,7 +1,10 @@
-"""Tokenisation as column expressions: all stays in the JVM and in generated code."""
+"""Tokenisation: as column expressions, and of whole texts at once for the encoder's pass."""
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -80,3 +83,41 @@ def pooling_mask(ids: Column, vocabulary: Vocabulary) -> Column:
     """True where an id is no special token."""
     special = F.array(*[F.lit(i) for i in vocabulary.special_ids])
     return F.transform(ids, lambda x: ~F.array_contains(special, x))
+
+
+class TextCodec:
+    """Ids of whole texts by a lookup of code points: the ids and masks of encode(), add_specials() and pooling_mask(), without a token in a row of its own."""
+
+    def __init__(self, vocabulary: Vocabulary, specials: bool = True):
+        spell = str.upper if vocabulary.upper else str
+        unk = vocabulary.id_of(vocabulary.unk)
+        self._unk = -1 if unk is None else unk
+        self._ids, self._spell = dict(vocabulary.ids), spell
+        self._table = np.full(max([1 << 16, *(ord(t) + 1 for t in vocabulary.ids if len(t) == 1)]) + 1, self._unk, np.int32)  # the last one is for all beyond
+        for code in range(len(self._table) - 1):
+            found = self._ids.get(spell(chr(code)), self._ids.get(chr(code)))
+            if found is not None:
+                self._table[code] = found
+        self._bracket = re.compile({"<": f"({ANGLE.split('|')[0]})", "[": f"({SQUARE.split('|')[0]})"}[vocabulary.bracket])
+        ends = [vocabulary.id_of(t) if specials else None for t in (vocabulary.cls, vocabulary.sep)]
+        self._before, self._after = (np.array([] if e is None else [e], np.int32) for e in ends)
+        self._special = np.array(vocabulary.special_ids, np.int32)
+
+    def _plain(self, text: str) -> np.ndarray:
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        return self._table[np.minimum(codes[codes != 10], len(self._table) - 1)]
+
+    def ids(self, text: str | None) -> np.ndarray:
+        """Ids of a text with the special tokens around it; -1 for an unknown token where the vocabulary has none for it."""
+        text = text or ""
+        parts = [self._before]
+        for k, piece in enumerate(self._bracket.split(text) if self._bracket.search(text) else [text]):
+            if k % 2:
+                parts.append(np.array([self._ids.get(self._spell(piece), self._ids.get(piece, self._unk))], np.int32))
+            elif piece:
+                parts.append(self._plain(piece))
+        return np.concatenate([*parts, self._after])
+
+    def counted(self, ids: np.ndarray) -> np.ndarray:
+        """True where an id is no special token."""
+        return ~np.isin(ids, self._special)

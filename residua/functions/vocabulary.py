@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 from collections.abc import Mapping
 from dataclasses import dataclass, field
@@ -56,6 +57,11 @@ class Vocabulary:
     def valid_tokens(self) -> list[str]:
         return sorted(self.ids)
 
+    @property
+    def fingerprint(self) -> str:
+        parts = [sorted(self.ids.items()), self.pad, self.cls, self.sep, self.unk, self.specials, self.upper, sorted(self.extra.items())]
+        return hashlib.sha256(repr(parts).encode()).hexdigest()
+
     def as_map(self) -> Column:
         """A map literal, folded once; a vocabulary has tens of entries."""
         return F.create_map(*itertools.chain.from_iterable((F.lit(t), F.lit(i)) for t, i in self.ids.items()))
@@ -83,10 +89,12 @@ def without_word_marks(ids: Mapping[str, int]) -> dict[str, int]:
 
 
 def from_files(vocab: Mapping[str, int], config: Mapping[str, str] | None = None) -> Vocabulary:
-    """A vocabulary from a token map and a special-token map (pad_token, cls_token, ...)."""
-    given = dict(config or {})
-    role = lambda name, default: given.get(f"{name}_token", default if default in vocab else None)
-    roles = {n: role(n, f"<{n}>") for n in ("pad", "cls", "sep", "unk")}
-    specials = tuple(dict.fromkeys([t for k, t in given.items() if k.endswith("_token") and isinstance(t, str)] + [t for t in roles.values() if t]))
-    pad = roles.pop("pad") or roles["sep"] or roles["unk"]
-    return Vocabulary(dict(vocab), pad=pad or "<pad>", specials=specials, **roles)
+    """A vocabulary from a token map and a special-token map (pad_token, cls_token, ...). Sequences begin with the cls token, else the bos token, and end with the sep token, else the eos token, as far as there are such."""
+    given = {k.removesuffix("_token"): v for k, v in (config or {}).items() if k.endswith("_token") and isinstance(v, str)}
+    known = {n: t for n in ("pad", "cls", "bos", "sep", "eos", "unk") if (t := given.get(n, f"<{n}>")) in vocab or n in given}
+    if "eos" not in known and "</s>" in vocab:
+        known["eos"] = "</s>"
+    roles = {"cls": known.get("cls", known.get("bos")), "sep": known.get("sep", known.get("eos")), "unk": known.get("unk")}
+    pad = known.get("pad") or roles["sep"] or roles["unk"] or "<pad>"
+    specials = tuple(dict.fromkeys([*given.values(), *known.values()]))
+    return Vocabulary(dict(vocab), pad=pad, specials=specials, **roles)

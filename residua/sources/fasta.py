@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from residua.operators.sequences import auto_id, dedup_last, row_offsets
@@ -46,9 +46,17 @@ def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return numbered.select("ord", "sequence_id", "sequence")
 
 
+def range_bucket(df: DataFrame, column: str, number: int = 256) -> Column:
+    """The range of values that a row's value falls in, of about `number` ranges of about equal size, cut at values of a bounded sample. How even they are doesn't bear on results."""
+    sample = [r[0] for r in df.select(column).where(F.col(column).isNotNull()).orderBy(F.xxhash64(column)).limit(16 * number).collect()]
+    sample.sort()
+    cuts = sorted(set(sample[:: max(1, len(sample) // number)]))
+    return F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col(column))) if cuts else F.lit(0)
+
+
 def from_table(df: DataFrame, id_col: str, sequence_col: str, order_col: str | None = None) -> DataFrame:
     """Rows (ord, sequence_id, sequence) of any table; repeated ids as in read_fasta. order_col, an integer, gives the order (the id's own order without it)."""
     base = df.select(F.col(id_col).cast("string").alias("sequence_id"), F.col(sequence_col).cast("string").alias("sequence"), (F.col(order_col) if order_col else F.col(id_col)).alias("place"))
     unique = dedup_last(base, "sequence_id", "place", ["sequence"])
-    group = F.floor(F.col("place") / _GROUP) if order_col else F.substring(F.col("place").cast("string"), 1, 4)
+    group = F.floor(F.col("place") / _GROUP) if order_col else range_bucket(unique, "place")
     return row_offsets(unique, ["place"], group, "ord").select("ord", "sequence_id", F.coalesce("sequence", F.lit("")).alias("sequence"))

@@ -5,9 +5,11 @@ from __future__ import annotations
 import io
 import json
 import re
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
+from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,12 +53,34 @@ def read_vocabulary(spark: SparkSession, path: str) -> Vocabulary:
     return Vocabulary(made.ids, made.pad, made.cls, made.sep, made.unk, made.specials, extra={str(i): t if isinstance(t, str) else t.get("content", "") for i, t in enumerate(extra)})
 
 
+@dataclass(frozen=True)
+class _Rule:
+    """Reads a value off the first weight, by rank of `parts`, whose name has all of one of them and whose shape gives one; 0 stands for the default."""
+
+    parts: tuple[tuple[str, ...], ...]
+    value: Callable[[tuple[int, ...]], int | None]
+    default: int
+
+    def read(self, shapes: Mapping[str, tuple[int, ...]]) -> int:
+        for wanted in self.parts:
+            for name, shape in shapes.items():
+                if all(p in name.lower() for p in wanted) and (found := self.value(shape)) is not None:
+                    return found or self.default
+        return self.default
+
+
+# Sizes of a model whose weights don't tell, and the width of a head.
+_LAYERS, _HEADS, _WIDTH, _HEAD_WIDTH = 12, 12, 768, 64
+_RULES = {
+    "num_attention_heads": _Rule((("attention", "weight"),), lambda s: None if len(s) < 2 else 0 if s[1] % _HEAD_WIDTH else s[1] // _HEAD_WIDTH, _HEADS),
+    "hidden_size": _Rule((("embed", "weight"), ("output", "weight")), lambda s: s[-1] if s else None, _WIDTH),
+}
+
+
 def infer_config(shapes: Mapping[str, tuple[int, ...]]) -> dict[str, int]:
-    """Layers, heads and hidden size by the names and shapes of weights: layers one more than the highest number in a name with 'layer' (12 without one), hidden size the last dimension of the first embedding, else of the first output weight, else 768; heads a 64th of the second dimension of the first attention weight if that divides, else 12."""
-    numbers = [int(p) for k in shapes if "layer" in k for p in k.split(".") if p.isdigit()]
-    attention = next((s for k, s in shapes.items() if "attention" in k and "weight" in k and len(s) > 1), None)
-    size = next((s[-1] for k, s in shapes.items() if "embed" in k and "weight" in k), None) or next((s[-1] for k, s in shapes.items() if "output" in k and "weight" in k), 768)
-    return {"num_layers": max(numbers) + 1 if numbers else 12, "num_attention_heads": attention[1] // 64 if attention and attention[1] >= 64 and attention[1] % 64 == 0 else 12, "hidden_size": size}
+    """Layers, heads and hidden size by the names, in either case, and the shapes of weights; see _RULES. Layers are one more than the highest number between dots in a name with `layer`."""
+    numbers = pd.Series(list(shapes), dtype=str).str.lower().loc[lambda n: n.str.contains("layer")].str.extractall(r"(?:^|\.)(\d+)(?=\.|$)")[0].astype(int)
+    return {"num_layers": int(numbers.max()) + 1 if len(numbers) else _LAYERS, **{name: rule.read(shapes) for name, rule in _RULES.items()}}
 
 
 def read_weights(spark: SparkSession, path: str) -> tuple[dict[str, np.ndarray], dict]:
