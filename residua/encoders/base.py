@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import hashlib
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import Protocol
 
@@ -35,10 +36,22 @@ class Encoder(Protocol):
     hidden_size: int
     vocab_size: int
     outputs: tuple[str, ...]
+    #: Names the weights: a run that was stopped goes on with the same ones only.
+    fingerprint: str
 
     def __call__(self, ids: np.ndarray, mask: np.ndarray, wanted: Wanted) -> Output: ...
 
 
+def digest(arrays: Mapping[str, np.ndarray]) -> str:
+    """A hash of the names and values of arrays."""
+    out = hashlib.sha256()
+    for name in sorted(arrays):
+        value = np.ascontiguousarray(arrays[name])
+        out.update(f"{name}:{value.dtype}:{value.shape}:".encode())
+        out.update(value.data)
+    return out.hexdigest()
+
+
 def encode_with_retry(encoder: Encoder, ids: np.ndarray, mask: np.ndarray, wanted: Wanted) -> list[tuple[slice, Output]]:
     """Outputs of a batch; a batch that doesn't fit in memory is halved by rows until it does. A single row that doesn't fit is an error."""
     done, todo = [], [(0, len(ids))]

@@ -53,7 +53,7 @@ def choose(name: str) -> Choice:
     raise ValueError(f"no such model: {name!r}; known are synthetic, paths, {', '.join(ESM_MODELS + HUB_MODELS)}, and user/name")
 
 
-def load(spark: SparkSession, name: str, tokenizer_from: str | None = None) -> tuple[Encoder, Vocabulary]:
+def load(spark: SparkSession, name: str, tokenizer_from: str | None = None, device: str = "cpu") -> tuple[Encoder, Vocabulary]:
     """The encoder and the vocabulary of a model name. Backends of large models import their libraries here, and fail with a plain message where they are missing."""
     choice = choose(name)
     if choice.kind == "synthetic":
@@ -65,7 +65,7 @@ def load(spark: SparkSession, name: str, tokenizer_from: str | None = None) -> t
         return NumpyTransformer(weights, config["num_attention_heads"]), read_vocabulary(spark, tokenizer_from or folder)
     from residua.encoders import torch_backend
 
-    encoder = torch_backend.load(choice.kind, choice.link)
+    encoder = torch_backend.load(choice.kind, choice.link, device)
     if choice.kind == "esm":
         return encoder, esm(bool(re.search(r"esm1_", name)))
     return encoder, torch_backend.vocabulary(tokenizer_from or choice.link)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from residua.encoders.base import Output, Wanted
+from residua.encoders.base import Output, Wanted, digest
 from residua.functions.scalars import OUTPUT_TYPES
 
 
@@ -14,6 +14,10 @@ class SyntheticEncoder:
     def __init__(self, num_layers: int = 6, num_heads: int = 4, hidden_size: int = 16, vocab_size: int = 25):
         self.num_layers, self.num_heads, self.hidden_size, self.vocab_size = num_layers, num_heads, hidden_size, vocab_size
 
+    @property
+    def fingerprint(self) -> str:
+        return f"synthetic:{self.num_layers},{self.num_heads},{self.hidden_size},{self.vocab_size}"
+
     def __call__(self, ids: np.ndarray, mask: np.ndarray, wanted: Wanted) -> Output:
         t, pos = ids.astype(np.int64), np.arange(ids.shape[1])
         base = 31 * t + 17 * pos
@@ -38,6 +42,10 @@ class LookupEncoder:
         self.vectors = np.asarray(vectors, np.float32)
         self.num_layers, (self.vocab_size, self.hidden_size) = num_layers, self.vectors.shape
 
+    @property
+    def fingerprint(self) -> str:
+        return digest({"vectors": self.vectors})
+
     def __call__(self, ids: np.ndarray, mask: np.ndarray, wanted: Wanted) -> Output:
         known = (ids >= 0) & (ids < self.vocab_size)
         found = np.where(known[:, :, None], self.vectors[np.where(known, ids, 0)], np.float32(0))

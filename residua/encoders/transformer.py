@@ -6,7 +6,7 @@ from collections.abc import Mapping
 
 import numpy as np
 
-from residua.encoders.base import Output, Wanted
+from residua.encoders.base import Output, Wanted, digest
 from residua.functions.scalars import OUTPUT_TYPES
 
 
@@ -53,6 +53,10 @@ class NumpyTransformer:
         if self.hidden_size % num_heads:
             raise ValueError(f"{num_heads} heads don't divide a width of {self.hidden_size}")
 
+    @property
+    def fingerprint(self) -> str:
+        return f"{self.num_heads}:{digest(self.w)}"
+
     @classmethod
     def seeded(cls, vocab_size: int = 25, hidden_size: int = 32, num_layers: int = 2, num_heads: int = 4, max_length: int = 512, seed: int = 0) -> NumpyTransformer:
         """A model of random weights, the same for the same seed."""
