@@ -40,12 +40,31 @@ def attention_model(df: DataFrame) -> DataFrame:
     return df.groupBy("ord", "i", "j").agg(F.avg("weight").alias("weight"))
 
 
-def attention_rollup(df: DataFrame) -> DataFrame:
-    """Head, layer and model weights in one pass: rows (output_type, ord, layer, head, i, j, weight) by grouping sets."""
-    sets = [["ord", "layer", "head", "i", "j"], ["ord", "layer", "i", "j"], ["ord", "i", "j"]]
-    level = F.when(F.grouping("head") == 0, "attention_head").when(F.grouping("layer") == 0, "attention_layer").otherwise("attention_model")
-    rolled = df.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(c) for c in sets[0]]).agg(level.alias("output_type"), F.avg("weight").alias("weight"))
-    return rolled.select("output_type", *sets[0], "weight")
+def _mean_of(arrays: Column) -> Column:
+    """Mean of arrays of one length, place by place, in double."""
+    zeros = F.transform(F.element_at(arrays, 1), lambda x: F.lit(0.0))
+    total = F.aggregate(arrays, zeros, lambda acc, a: F.zip_with(acc, a, lambda x, y: x + y.cast("double")))
+    return F.transform(total, lambda x: x / F.size(arrays))
+
+
+def attention_rollup(heads: DataFrame) -> DataFrame:
+    """Head, layer and model weights of attention heads (ord, layer, head, shape, values): rows (output_type, ord, layer, head, i, j, weight).
+
+    A sequence's planes meet in one row, as they left the encoder, and are averaged as arrays; cells are rows at the end
+    only, after the one shuffle.
+    """
+    plane = F.struct("layer", "head", "values")
+    of = heads.groupBy("ord").agg(F.array_sort(F.collect_list(plane)).alias("planes"), F.max(F.element_at("shape", 2)).alias("width"))
+    values = lambda planes: F.transform(planes, lambda p: p["values"])
+    level = lambda name, layer, head, cells: F.struct(F.lit(name).alias("output_type"), layer.cast("int").alias("layer"), head.cast("int").alias("head"), cells.alias("cells"))
+    none = F.lit(None)
+    single = F.transform("planes", lambda p: level("attention_head", p["layer"], p["head"], F.transform(p["values"], lambda x: x.cast("double"))))
+    layers = F.array_distinct(F.transform("planes", lambda p: p["layer"]))
+    by_layer = F.transform(layers, lambda k: level("attention_layer", k, none, _mean_of(values(F.filter("planes", lambda p: p["layer"] == k)))))
+    whole = F.array(level("attention_model", none, none, _mean_of(values(F.col("planes")))))
+    each = of.select("ord", "width", F.inline(F.concat(single, by_layer, whole)))
+    cells = each.select("output_type", "ord", "layer", "head", "width", F.posexplode("cells").alias("at", "weight"))
+    return cells.select("output_type", "ord", "layer", "head", F.floor(F.col("at") / F.col("width")).cast("int").alias("i"), (F.col("at") % F.col("width")).alias("j"), "weight")
 
 
 def vocabulary_plane(logits: DataFrame, token_id: int) -> DataFrame:

@@ -21,6 +21,12 @@ def write_parquet(outputs: DataFrame, path: str, mode: str = "errorifexists", fl
     outputs.write.mode(mode).option("parquet.block.size", flush_mb << 20).partitionBy(*PARTS).parquet(path)
 
 
+def write_slices(outputs: DataFrame, path: str, step: int, flush_mb: int = 128) -> None:
+    """As write_parquet, below a folder for each slice of `step` rows; slices that have rows here are replaced, others stay."""
+    sliced = outputs.withColumn("slice", F.floor(F.col("ord") / step).cast("long") * step)
+    sliced.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("parquet.block.size", flush_mb << 20).partitionBy("slice", *PARTS).parquet(path)
+
+
 def vectors(outputs: DataFrame) -> DataFrame:
     """Rows (output_type, layer, head, ord, sequence_id, vector): pooled outputs, and others flattened."""
     return outputs.select(*PARTS, "ord", "sequence_id", F.col("values").alias("vector"))
@@ -75,9 +81,9 @@ def read_ranges(spark, path: str) -> DataFrame:
     return rows.where("start IS NOT NULL AND `end` IS NOT NULL AND output_type IS NOT NULL")
 
 
-def record_ranges(spark, path: str, keys: Sequence[tuple[str, int | None, int | None]], start: int, end: int) -> None:
-    """Records a range as complete, once its rows are written. Each record is a file of its own, so a broken write can't spoil others."""
-    rows = [(*k, start, end) for k in keys]
+def record_ranges(spark, path: str, keys: Sequence[tuple[str, int | None, int | None]], ranges: Sequence[tuple[int, int]]) -> None:
+    """Records ranges as complete, once their rows are written. Each record is a file of its own, so a broken write can't spoil others."""
+    rows = [(*k, start, end) for start, end in ranges for k in keys]
     spark.createDataFrame(rows, "output_type string, layer int, head int, start long, end long").coalesce(1).write.mode("append").json(path)
 
 
