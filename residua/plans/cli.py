@@ -6,7 +6,7 @@ import argparse
 
 from pyspark.sql import SparkSession
 
-from residua.functions.scalars import OUTPUT_TYPES, parse_bool, parse_layers
+from residua.functions.scalars import OUTPUT_TYPES, PRECISIONS, parse_bool, parse_layers
 from residua.plans.pipeline import run
 from residua.plans.spec import EmbedSpec
 
@@ -27,13 +27,13 @@ def parser() -> argparse.ArgumentParser:
     add("--discard_padding", action="store_true")
     add("--max_length", default="max_length")
     add("--streaming_output", type=parse_bool, default=True, help="commit in slices and resume")
-    add("--num_workers", type=int, default=8, help="tasks that encode and write")
+    add("--num_workers", type=int, default=8, help="tasks that encode and write a slice")
     add("--disable_special_tokens", type=parse_bool, default=False)
     add("--flatten", type=parse_bool, default=False)
     add("--flush_batches_after", type=int, default=128, help="MB that a writer holds before it flushes")
-    add("--precision", default="32", choices=["float16", "16", "half", "float32", "32", "full"])
+    add("--precision", default="32", choices=sorted(PRECISIONS))
     add("--device", type=str.lower, default="cpu", choices=["cuda", "cpu"])
-    add("--npy", type=parse_bool, default=True, help="also export dense arrays")
+    add("--npy", type=parse_bool, default=False, help="also export dense arrays to the driver's disk, by which all rows pass")
     return p
 
 

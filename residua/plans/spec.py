@@ -36,20 +36,22 @@ class EmbedSpec:
     #: Rows of a slice that is committed at once.
     commit_rows: int = 1_000_000
     npy: bool = False
+    #: Slices that one call writes at most; a later call goes on. None is all.
+    slices_at_most: int | None = None
 
     def __post_init__(self):
         output_types(self.extract)
         dtype_of(self.precision)
         if "substring_pooled" in self.extract and not self.substring_path:
             raise ValueError("substring_pooled needs a substring table")
-        if self.context < 0 or self.batch_size < 1 or self.commit_rows < 1 or self.num_workers < 1:
-            raise ValueError("context must not be negative; batch_size, commit_rows and num_workers must be positive")
+        if self.context < 0 or self.batch_size < 1 or self.commit_rows < 1 or self.num_workers < 1 or (self.slices_at_most is not None and self.slices_at_most < 1):
+            raise ValueError("context must not be negative; batch_size, commit_rows, num_workers and slices_at_most must be positive")
         if self.max_length != "max_length" and int(self.max_length) < 1:
             raise ValueError("max_length must be positive")
 
     def run_key(self, fingerprint: str) -> str:
-        """Names a run by what its results depend on, so that progress of another run or input is never taken for this one's."""
-        given = {k: v for k, v in asdict(self).items() if k not in ("output_path", "num_workers", "flush_batches_after", "device", "commit_rows", "batch_size", "npy")}
+        """Names a run by what its results depend on (fingerprint: of the input, the weights and the vocabulary), so that progress of another one is never taken for this one's."""
+        given = {k: v for k, v in asdict(self).items() if k not in ("output_path", "num_workers", "flush_batches_after", "device", "commit_rows", "batch_size", "npy", "slices_at_most")}
         return hashlib.sha256(json.dumps([given, fingerprint], sort_keys=True, default=str).encode()).hexdigest()[:16]
 
 

@@ -8,9 +8,11 @@ from residua.encoders.base import Output, Wanted, batches_by_budget, encode_with
 from residua.encoders.registry import ESM_MODELS, choose, load
 from residua.encoders.synthetic import LookupEncoder, SyntheticEncoder
 from residua.encoders.transformer import NumpyTransformer
-from residua.functions.vocabulary import protein
+from residua.functions.tokens import TextCodec
+from residua.functions.vocabulary import Vocabulary, protein
+from residua.operators.sequences import tokenise
 from residua.plans import cli
-from residua.plans.pipeline import encode_table, manifest, read_outputs, represent, require_space, run
+from residua.plans.pipeline import encode_table, manifest, read_outputs, report, represent, require_space, run
 from residua.plans.spec import EmbedSpec, resolve
 from residua.sinks import outputs as sink
 from residua.sources.fasta import read_fasta
@@ -174,27 +176,79 @@ def test_a_whole_run_and_its_arrays(spark, tmp_path):
 
 def test_a_stopped_run_goes_on(spark, tmp_path, monkeypatch):
     fasta(tmp_path / "in.fasta")
-    spec = EmbedSpec("synthetic", str(tmp_path / "out"), str(tmp_path / "in.fasta"), commit_rows=10, num_workers=2)
+    spec = EmbedSpec("synthetic", str(tmp_path / "out"), str(tmp_path / "in.fasta"), commit_rows=10, num_workers=4)
     written = []
-    real = sink.write_parquet
+    real = sink.write_slices
 
     def failing(made, path, *rest):
         if len(written) == 2:
             raise RuntimeError("stopped")
-        written.append(path)
         real(made, path, *rest)
+        written.append(made.selectExpr("min(ord)").first()[0])
 
-    monkeypatch.setattr("residua.plans.pipeline.sink.write_parquet", failing)
+    monkeypatch.setattr("residua.plans.pipeline.sink.write_slices", failing)
     with pytest.raises(RuntimeError):
         run(spark, spec)
-    monkeypatch.setattr("residua.plans.pipeline.sink.write_parquet", lambda made, path, *rest: (written.append(path), real(made, path, *rest)))
+    monkeypatch.setattr("residua.plans.pipeline.sink.write_slices", lambda made, path, *rest: (written.append(made.selectExpr("min(ord)").first()[0]), real(made, path, *rest)))
     where = run(spark, spec)
-    assert len(written) == 4 and len(set(written)) == 4
-    whole = run(spark, EmbedSpec("synthetic", str(tmp_path / "other"), str(tmp_path / "in.fasta"), streaming_output=False))
+    assert sorted(written) == [0, 10, 20, 30]
+    whole = run(spark, EmbedSpec("synthetic", str(tmp_path / "other"), str(tmp_path / "in.fasta"), streaming_output=False, commit_rows=16))
     a, b = pooled(read_outputs(spark, where)), pooled(read_outputs(spark, whole))
     assert a.keys() == b.keys() and all((a[k][1] == b[k][1]).all() for k in a)
 
 
+def test_a_run_in_steps_and_its_report(spark, tmp_path):
+    fasta(tmp_path / "in.fasta")
+    spec = EmbedSpec("synthetic", str(tmp_path / "out"), str(tmp_path / "in.fasta"), commit_rows=16, num_workers=2, slices_at_most=2)
+    where = run(spark, spec)
+    assert read_outputs(spark, where).count() == 32
+    encoder = SyntheticEncoder(vocab_size=25)
+    progress = sink.read_ranges(spark, where.replace("outputs-", "_progress-"))
+    lines = [r for r in report(spark, spec, resolve(spec, encoder), encoder, progress, 40, 32).collect()]
+    assert [(r.n_ranges, r.n_rows, r.n_bytes) for r in lines if r.is_total] == [(1, 32, 32 * 16 * 4)]
+    assert run(spark, spec) == where and read_outputs(spark, where).count() == 40 and read_outputs(spark, where).select("ord").distinct().count() == 40
+
+
+def test_other_weights_or_tokens_are_another_run(spark, tmp_path):
+    fasta(tmp_path / "in.fasta", 5)
+    spec = EmbedSpec("synthetic", str(tmp_path / "out"), str(tmp_path / "in.fasta"))
+    one, two = (NumpyTransformer.seeded(hidden_size=8, num_layers=1, num_heads=2, seed=k) for k in (0, 1))
+    paths = {run(spark, spec, encoder=m, vocabulary=v) for m, v in ((one, V), (two, V), (one, Vocabulary(V.ids, upper=True)))}
+    assert len(paths) == 3 and run(spark, spec, encoder=one, vocabulary=V) in paths
+
+    class Plain(SyntheticEncoder):
+        fingerprint = None
+
+    assert run(spark, spec, encoder=Plain(), vocabulary=V) not in paths
+
+
+def test_space_is_checked_before_encoding(spark, tmp_path, monkeypatch):
+    fasta(tmp_path / "in.fasta", 5)
+    monkeypatch.setattr("residua.plans.pipeline.shutil.disk_usage", lambda path: type("usage", (), {"free": 10}))
+    monkeypatch.setattr("residua.plans.pipeline.sink.write_slices", lambda *a: pytest.fail("encoded"))
+    with pytest.raises(ValueError, match="free"):
+        run(spark, EmbedSpec("synthetic", str(tmp_path / "out"), str(tmp_path / "in.fasta"), npy=True))
+
+
+def test_whole_texts_are_tokenised_as_columns_are(spark):
+    draw = random.Random(5)
+    texts = [None, "", "\n", "<cls>A", "A<mask>B<x\n>C<", "a\u0131\u017fb", "AC" * 50, "\U0001f600A\u00e9", "<>", "[A]<A>"]
+    texts += ["".join(draw.choice("ACDXacd<>[]\n \u00e9") for _ in range(draw.randint(0, 40))) for _ in range(60)]
+    rows = spark.createDataFrame([(k, str(k), t) for k, t in enumerate(texts)], "ord long, sequence_id string, sequence string")
+    square = Vocabulary({"[PAD]": 0, "[CLS]": 1, "[UNK]": 2, "A": 3, "C": 4, "[A]": 5}, pad="[PAD]", cls="[CLS]", sep=None, unk="[UNK]", specials=("[PAD]", "[CLS]", "[UNK]"))
+    for v in (protein(), protein(True), square):
+        for specials in (True, False):
+            codec = TextCodec(v, specials)
+            want = tokenise(rows, v, specials).orderBy("ord").select("input_ids", "pooling_mask").collect()
+            for t, r in zip(texts, want):
+                ids = codec.ids(t)
+                assert ids.tolist() == r.input_ids and codec.counted(ids).tolist() == r.pooling_mask, t
+    spec, encoder = EmbedSpec("synthetic", extract=("mean_pooled", "per_token"), discard_padding=True, batch_size=50), SyntheticEncoder()
+    a = pooled(represent(encode_table(rows, protein(), spec), encoder, resolve(spec, encoder), spec, 0, 0))
+    b = pooled(represent(rows, encoder, resolve(spec, encoder), spec, 0, 0, TextCodec(protein())))
+    assert a.keys() == b.keys() and all(np.array_equal(a[k][1], b[k][1], equal_nan=True) for k in a)
+
+
 def test_errors_of_a_run(spark, tmp_path):
     (tmp_path / "in.fasta").write_text(">a\nAC*\n")
     with pytest.raises(ValueError, match="a"):
