@@ -143,9 +143,8 @@ def pad_mask(spark, sf_dir):
 @query("""WITH m AS (SELECT max(length(p_name)) + 2 AS longest FROM part), r(requested) AS (VALUES ('max_length'), ('4'), ('64'))
 SELECT requested, CASE requested WHEN 'max_length' THEN longest ELSE greatest(requested::BIGINT, longest) END::BIGINT AS length FROM r, m""")
 def max_length_policy(spark, sf_dir):
-    most = _tokenised(spark, sf_dir).agg(F.max(F.size("input_ids")).cast("long").alias("longest"))
-    asked = spark.createDataFrame([("max_length", None), ("4", 4), ("64", 64)], "requested string, n long")
-    return asked.crossJoin(F.broadcast(most)).select("requested", F.greatest("n", "longest").alias("length"))
+    longest = sequences.longest(_tokenised(spark, sf_dir))
+    return spark.createDataFrame([(r, scalars.max_length(r, longest)) for r in ("max_length", "4", "64")], "requested string, length long")
 
 
 @query(f"WITH {_ALL} SELECT ord, pos::INT AS pos, id FROM full_ids WHERE pos < 6")
@@ -164,9 +163,11 @@ def invalid_tokens(spark, sf_dir):
     return sequences.invalid(rows, VOCABULARY, "ord").select("ord", F.explode("unknown").alias("token"))
 
 
-@query(r"SELECT doc_id, len(regexp_extract_all(text, '<[^\n]*?>|[^\n]', 0))::INT AS n_tokens FROM documents WHERE len(regexp_extract_all(text, '<[^\n]*?>|[^\n]', 0)) > 256")
+@query(f"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(text, '<[^\\n]*?>|[^\\n]', 0)) AS ch FROM documents), vocab(token, id) AS (VALUES {_VALUES})
+SELECT doc_id, count(*)::INT AS n_tokens, (count(DISTINCT upper(ch)) FILTER (WHERE upper(ch) NOT IN (SELECT token FROM vocab)))::INT AS n_unknown FROM t GROUP BY 1 HAVING n_tokens > 256 OR n_unknown > 0""")
 def length_limit(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(T.split_tokens(F.col("text"))).alias("n_tokens")).where("n_tokens > 256")
+    rows = table(spark, sf_dir, "documents").select("doc_id", T.split_tokens(F.col("text")).alias("tokens"))
+    return sequences.invalid(rows, VOCABULARY, "doc_id", limit=256).select("doc_id", "n_tokens", F.size("unknown").alias("n_unknown"))
 
 
 @query(f"WITH {_ALL} SELECT ord, pos::INT AS pos, id NOT IN (0, 1, 2, 3) AS pooled FROM full_ids")
@@ -339,7 +340,7 @@ def attention_model(spark, sf_dir):
 @query(f"""WITH {_PAIR} SELECT CASE WHEN grouping(head) = 0 THEN 'attention_head' WHEN grouping(layer) = 0 THEN 'attention_layer' ELSE 'attention_model' END AS output_type, ord, layer, head, i, j, avg(weight) AS weight
 FROM w WHERE layer > 2 GROUP BY GROUPING SETS ((ord, layer, head, i, j), (ord, layer, i, j), (ord, i, j))""")
 def attention_rollup(spark, sf_dir):
-    return extract.attention_rollup(_attention(_represent(spark, sf_dir, ("attention_head",), (3, 4)), "layer", "head"))
+    return extract.attention_rollup(_represent(spark, sf_dir, ("attention_head",), (3, 4)))
 
 
 _LOGITS = f"{_ALL}, v AS (SELECT unnest(range(24)) AS token_id)"
@@ -434,15 +435,15 @@ def sequence_index(spark, sf_dir):
 SELECT doc_id, count(DISTINCT ch) AS n_distinct, count(*) AS n_tokens FROM t GROUP BY 1""")
 def token_sets(spark, sf_dir):
     tokens = T.split_tokens(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(F.array_distinct(tokens)).cast("long").alias("n_distinct"), F.size(tokens).cast("long").alias("n_tokens")).where("n_tokens > 0")
+    filled = table(spark, sf_dir, "documents").where(F.col("text").rlike(r"[^\n]"))  # asked of the text, so that the tokens are split once
+    return filled.select("doc_id", F.size(F.array_distinct(tokens)).cast("long").alias("n_distinct"), F.size(tokens).cast("long").alias("n_tokens"))
 
 
 def document_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean-pooled vectors of whole documents by the fused pass."""
     spec = EmbedSpec("synthetic", extract=("mean_pooled",), layers=(-1,), batch_size=65_536)
     rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), F.col("doc_id").cast("string").alias("sequence_id"), F.coalesce("text", F.lit("")).alias("sequence"))
-    resolved = resolve(spec, ENCODER)
-    made = represent(encode_table(rows, VOCABULARY, spec), ENCODER, resolved, spec, VOCABULARY.pad_id, 0)
+    made = represent(rows, ENCODER, resolve(spec, ENCODER), spec, VOCABULARY.pad_id, 0, T.TextCodec(VOCABULARY))
     return made.select("ord", F.posexplode("values").alias("dim", "value")).select("ord", "dim", F.col("value").cast("double").alias("value"))
 
 

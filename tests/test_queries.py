@@ -1,5 +1,6 @@
 import pytest
 
+import residua.run_queries  # noqa: F401
 from residua.queries import ORACLE_SQL, QUERIES
 from tests.oracle import same
 
