@@ -86,11 +86,12 @@ def mix(docs: DataFrame, weights: Mapping[str, float], default_weight: float = 1
     of = F.broadcast(of) if (sizes["bytes"] or 0) <= BROADCAST_BYTES else of
     kept = [c for c in docs.columns if c != copy_name]
     columns = [F.col(f"`{c}`") for c in kept]
-    rows = docs.join(of, F.col(source_col).cast("string").eqNullSafe(F.col("__residua_source"))).drop("__residua_source")
+    # Uniform numbers are made below the join, and for parts below the shuffle, so that they are made once for each row.
+    rows = docs.withColumn("__residua_u", uniform(seed, F.col(id_col), F.col(text_col))).join(of, F.col(source_col).cast("string").eqNullSafe(F.col("__residua_source"))).drop("__residua_source")
 
     def copied(rows: DataFrame, part: Column) -> DataFrame:
         count = F.col("__residua_first") + F.size(F.filter("__residua_steps", lambda p: p < F.col("__residua_u")))
-        drawn = rows.withColumn("__residua_u", uniform(seed, F.col(id_col), F.col(text_col), part)).withColumn("__residua_n", count).where("__residua_n > 0")
+        drawn = rows.withColumn("__residua_n", count).where("__residua_n > 0")
         number = F.explode(F.expr("sequence(0, __residua_n - 1)")).alias("__residua_k")
         return drawn.select(*columns, part.alias("__residua_part"), number).select(*columns, (F.col("__residua_part") * PART + F.col("__residua_k")).alias(copy_name))
 
@@ -99,6 +100,7 @@ def mix(docs: DataFrame, weights: Mapping[str, float], default_weight: float = 1
         # Parts are numbered in two steps, so that no row holds an array of all of them.
         many = rows.where("__residua_parts > 1").withColumn("__residua_block", F.explode(F.expr("sequence(0, (__residua_parts - 1) div 10000)")))
         many = many.withColumn("__residua_part", F.explode(F.expr("sequence(__residua_block * 10000, least(__residua_block * 10000 + 9999, __residua_parts - 1))")))
+        many = many.withColumn("__residua_u", uniform(seed, F.col(id_col), F.col(text_col), F.col("__residua_part")))
         dealt = many.repartition(F.xxhash64(F.col(id_col), F.when(F.col(id_col).isNull(), F.col(text_col)), "__residua_part"))
         copies = copies.unionByName(copied(dealt, F.col("__residua_part")))
     if not shuffle:
