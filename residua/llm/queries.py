@@ -119,9 +119,11 @@ a AS (SELECT doc_id, h, text, unnest(string_split(text, chr(10))) AS line, gener
 b AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY doc_id, h ORDER BY k) - length(line) - 1 AS off, length(line) - length(regexp_replace(line, '^[\x09-\x0D\x20]+', '')) AS blank,
   array_to_string(list_filter(string_split_regex({_FOLD.format(x="line")}, '[\x09-\x0D\x20]+'), lambda w: w <> ''), ' ') AS norm FROM a),
 c AS (SELECT doc_id, h, text, norm, (off + blank)::BIGINT AS start, row_number() OVER (PARTITION BY doc_id, h ORDER BY k) - 1 AS idx FROM b WHERE norm <> ''),
-d AS (SELECT *, coalesce(lead(start) OVER w, length(text)) AS stop, lead(norm, 1) OVER w AS norm1, lead(norm, 2) OVER w AS norm2 FROM c WINDOW w AS (PARTITION BY doc_id, h ORDER BY idx)),
-r AS (SELECT doc_id, h, idx, row_number() OVER (PARTITION BY norm, norm1, norm2 ORDER BY doc_id, h, idx) AS nth FROM d WHERE norm2 IS NOT NULL AND doc_id IS NOT NULL),
-g AS (SELECT DISTINCT doc_id, h, idx + j AS idx FROM r, range(3) AS t(j) WHERE nth > 1),{_without("d", "g", "n_lines")}"""
+d AS (SELECT *, coalesce(lead(start) OVER w, length(text)) AS stop FROM c WINDOW w AS (PARTITION BY doc_id, h ORDER BY idx)),
+u AS (SELECT doc_id, h, idx, norm || ' #' || place AS unit, place FROM (SELECT *, unnest(range(greatest(1, len(string_split(norm, ' ')) // {line_dedup.WORDS}))) AS place FROM d)),
+v AS (SELECT *, lead(unit, 1) OVER w AS unit1, lead(unit, 2) OVER w AS unit2, lead(idx, 2) OVER w AS last FROM u WINDOW w AS (PARTITION BY doc_id, h ORDER BY idx, place)),
+r AS (SELECT doc_id, h, idx, last, row_number() OVER (PARTITION BY unit, unit1, unit2 ORDER BY doc_id, h, idx, place) AS nth FROM v WHERE unit2 IS NOT NULL AND doc_id IS NOT NULL),
+g AS (SELECT DISTINCT doc_id, h, unnest(range(idx, last + 1)) AS idx FROM r WHERE nth > 1),{_without("d", "g", "n_lines")}"""
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -85,8 +85,10 @@ def lines(text):
 
 
 def line_runs(text):
+    """Runs of three units: a line counts once for each 20 words."""
     own = [tuple(w for _, _, w in line) for line in lines(text)]
-    return [(tuple(own[k : k + 3]), k, k + 3) for k in range(len(own) - 2)]
+    units = [(k, (words, j)) for k, words in enumerate(own) for j in range(max(1, len(words) // 20))]
+    return [(tuple(x for _, x in units[i : i + 3]), units[i][0], units[i + 2][0] + 1) for i in range(len(units) - 2)]
 
 
 def brute(rows, parts, keys):
@@ -124,12 +126,21 @@ def test_every_shared_run_has_a_shared_fingerprint():
         line = lambda: str(draw.randrange(10**6))
         common = [line() for _ in range(draw.randint(3, 9))]
         texts = ["\n".join([*[line() for _ in range(draw.randrange(5))], *common, *[line() for _ in range(draw.randrange(5))]]) for _ in range(2)]
-        _, hashes, bounds = line_dedup.lines(*flat(pa.array([*texts, "\n".join(common)])))
+        hashes, _, bounds = line_dedup.units(*flat(pa.array([*texts, "\n".join(common)])))
         own = [hashes[a:b] for a, b in zip(bounds, bounds[1:])]
         picks = [{int(h[k]) for k in winnow(h)} for h in own[:2]]
         assert picks[0] & picks[1] & set(own[2].tolist())
 
 
+def test_a_long_line_goes_alone(spark):
+    draw = random.Random(8)
+    say = lambda n: " ".join(f"w{draw.randrange(10**6)}" for _ in range(n))
+    long, short, pair = say(65), say(19), "\n".join(say(45) for _ in range(2))
+    docs = [(k, f"{say(9)}\n{x}\n{say(9)}") for k, x in enumerate([long, long, short, short, pair, pair])] + [(6, say(3)), (7, long), (8, long + " more")]
+    got = {r.doc_id: r for r in line_dedup.dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert [got[k]["__removed"] for k in range(9)] == [0, 1, 0, 0, 0, 2, 0, 1, 0] and got[7].text == "" and long not in got[1].text
+
+
 def test_winnow_takes_the_last_of_equal_minima():
     assert winnow(np.array([3, 1, 1, 2, 5, 4, 9], np.uint64)).tolist() == [2, 3, 5]
     assert winnow(np.array([1, 2], np.uint64)).tolist() == []
