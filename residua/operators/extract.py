@@ -22,12 +22,17 @@ def masked_mean(rows: Column, mask: Column, width: int) -> Column:
     return F.transform(total, lambda s: F.coalesce(F.try_divide(s, n), F.lit(float("nan"))))
 
 
-def per_token(df: DataFrame, keys: Sequence[str], rows: str = "matrix", attention_mask: str | None = None) -> DataFrame:
-    """Rows (keys, pos, dim, value) of matrices; with an attention mask, places of padding are dropped."""
-    each = df.select(*keys, *([attention_mask] if attention_mask else []), F.posexplode(rows).alias("pos", "row"))
+def per_token(df: DataFrame, keys: Sequence[str], rows: str = "matrix", attention_mask: str | None = None, mask: str | None = None) -> DataFrame:
+    """Rows (keys, pos, dim, value) of matrices; with an attention mask, places of padding are dropped. A mask (array) is laid beside the places: rows have its value in a column of its name."""
+    beside = [attention_mask] if attention_mask else []
+    if mask:
+        places = F.arrays_zip(F.col(rows).alias("row"), F.col(mask).alias("mask"))
+        each = df.select(*keys, *beside, F.posexplode(places).alias("pos", "at")).select(*keys, *beside, "pos", "at.row", F.col("at.mask").alias(mask))
+    else:
+        each = df.select(*keys, *beside, F.posexplode(rows).alias("pos", "row"))
     if attention_mask:
         each = each.where(F.element_at(attention_mask, F.col("pos") + 1) == 1)
-    return each.select(*keys, "pos", F.posexplode("row").alias("dim", "value"))
+    return each.select(*keys, *([mask] if mask else []), "pos", F.posexplode("row").alias("dim", "value"))
 
 
 def attention_layer(df: DataFrame) -> DataFrame:

@@ -76,6 +76,11 @@ def _slices(column: pa.ListArray) -> list[np.ndarray | None]:
     return [values[a:b] if ok else None for a, b, ok in zip(at, at[1:], column.is_valid().to_numpy(zero_copy_only=False))]
 
 
+def _filled(mask: np.ndarray, length: int) -> np.ndarray:
+    """A mask, false beyond its end up to a length."""
+    return np.concatenate([mask, np.zeros(length - len(mask), bool)]) if len(mask) < length else mask
+
+
 def _pieces(batches: Iterable[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
     """Slices of the batches whose values in a column have at most _PIECE bytes or items together; one row at least."""
     for batch in batches:
@@ -89,22 +94,26 @@ def _pieces(batches: Iterable[pa.RecordBatch], column: str) -> Iterator[pa.Recor
             start = end
 
 
-def represent(encoded: DataFrame, encoder: Encoder, resolved: Resolved, spec: EmbedSpec, pad_id: int, length: int, codec: TextCodec | None = None) -> DataFrame:
+def represent(encoded: DataFrame, encoder: Encoder, resolved: Resolved, spec: EmbedSpec, pad_id: int, length: int, codec: TextCodec | None = None, keep: str | None = None) -> DataFrame:
     """The outputs of encoded rows (schema sinks.outputs.SCHEMA): one forward pass for all of them, pooled within the pass.
 
     With a codec, rows are (ord, sequence_id, sequence) instead, and are tokenised in the pass: texts alone go to Python,
     and nothing is kept for each token. Batches are made by length within an Arrow batch and padded to their own longest row; only outputs that show padding
     are padded to the common length. Results don't depend on how rows are batched.
+
+    keep names a mask of the encoded rows that the outputs have as a further column, false for padding: a join would need
+    both sides by place.
     """
     dtype = dtype_of(spec.precision)
+    fields = [*_FIELDS, keep] if keep else _FIELDS
     full = not spec.discard_padding and bool({"per_token", "attention_head", "attention_layer", "attention_model", "logits"} & set(resolved.outputs))
 
-    def rows(what: str, layer: int | None, head: int | None, ids: pa.Array, names: pa.Array, values: list[np.ndarray]) -> pa.RecordBatch:
+    def rows(what: str, layer: int | None, head: int | None, ids: pa.Array, names: pa.Array, values: list[np.ndarray], kept: list[pa.Array]) -> pa.RecordBatch:
         n = len(values)
         flat = [v.astype(dtype).astype(np.float32).ravel() for v in values]
         shapes = [np.array(v.shape[:1] if spec.flatten and v.ndim == 1 else (v.size,) if spec.flatten else v.shape, np.int32) for v in values]
         constant = lambda x, kind: pa.array([x] * n, kind)
-        return pa.RecordBatch.from_arrays([constant(what, pa.string()), constant(layer, pa.int32()), constant(head, pa.int32()), ids, names, _lists(shapes, pa.int32()), _lists(flat, pa.float32())], _FIELDS)
+        return pa.RecordBatch.from_arrays([constant(what, pa.string()), constant(layer, pa.int32()), constant(head, pa.int32()), ids, names, _lists(shapes, pa.int32()), _lists(flat, pa.float32()), *kept], fields)
 
     def tokens_of(batch: pa.RecordBatch) -> tuple[list[np.ndarray], dict[str, list[np.ndarray]]]:
         if codec is None:
@@ -125,6 +134,7 @@ def represent(encoded: DataFrame, encoder: Encoder, resolved: Resolved, spec: Em
                     own = group[part]
                     at = pa.array(own)
                     ords, names = batch.column("ord").take(at), batch.column("sequence_id").take(at)
+                    kept = [_lists([_filled(masks[keep][i], lengths[i]) for i in own], pa.bool_())] if keep else []
                     for what in resolved.outputs:
                         if what in ("mean_pooled", "substring_pooled"):
                             mask = np.zeros((len(own), wide), bool)
@@ -132,14 +142,14 @@ def represent(encoded: DataFrame, encoder: Encoder, resolved: Resolved, spec: Em
                                 m = masks["pooling_mask" if what == "mean_pooled" else "substring_mask"][i]
                                 mask[k, : len(m)] = m
                             for layer in resolved.layers:
-                                yield rows(what, layer, None, ords, names, list(masked_means(out.hidden[layer], mask)))
+                                yield rows(what, layer, None, ords, names, list(masked_means(out.hidden[layer], mask)), kept)
                             continue
                         for layer, head, plane in _planes(what, out, resolved):
                             square = what.startswith("attention")
                             values = [plane[k] if full else plane[k, : len(ids[i]), : len(ids[i]) if square else None] for k, i in enumerate(own)]
-                            yield rows(what, layer, head, ords, names, values)
+                            yield rows(what, layer, head, ords, names, values, kept)
 
-    return encoded.mapInArrow(work, sink.SCHEMA)
+    return encoded.mapInArrow(work, f"{sink.SCHEMA}, {keep} array<boolean>" if keep else sink.SCHEMA)
 
 
 def manifest(spark: SparkSession, spec: EmbedSpec, resolved: Resolved, encoder: Encoder, n: int, length: int) -> DataFrame:

@@ -58,13 +58,13 @@ def _tokenised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.tokenise(_parts(spark, sf_dir), VOCABULARY)
 
 
-def _represent(spark: SparkSession, sf_dir: str, extract_: tuple[str, ...], layers: tuple[int, ...] | None = (-1,), substring: str | None = None, context: int = 0, **more) -> DataFrame:
+def _represent(spark: SparkSession, sf_dir: str, extract_: tuple[str, ...], layers: tuple[int, ...] | None = (-1,), substring: str | None = None, context: int = 0, keep: str | None = None, **more) -> DataFrame:
     spec = EmbedSpec("synthetic", extract=extract_, layers=layers, substring_path="given" if substring else None, context=context, **{"discard_padding": True, "batch_size": 65_536} | more)
     rows = _parts(spark, sf_dir).select("ord", F.col("ord").cast("string").alias("sequence_id"), "sequence")
     subs = rows.select("sequence_id", F.lit(substring).alias("substring")) if substring else None
     encoded = encode_table(rows, VOCABULARY, spec, subs)
     length = 0 if spec.discard_padding else sequences.longest(encoded)
-    return represent(encoded, ENCODER, resolve(spec, ENCODER), spec, VOCABULARY.pad_id, length)
+    return represent(encoded, ENCODER, resolve(spec, ENCODER), spec, VOCABULARY.pad_id, length, keep=keep)
 
 
 def _long(outputs: DataFrame) -> DataFrame:
@@ -262,11 +262,10 @@ def mean_pooled_multi_layer(spark, sf_dir):
 
 @query(_pool_sql("(4)"))
 def mean_pooled_relational(spark, sf_dir):
-    """mean_pooled from per-token rows by a grouped mean."""
-    tokens = extract.per_token(matrices(_represent(spark, sf_dir, ("per_token",))), ["ord", "layer"])
-    pooled = _tokenised(spark, sf_dir).select("ord", F.posexplode("pooling_mask").alias("pos", "pooled"))
-    rows = tokens.join(pooled, ["ord", "pos"])
-    return _double(extract.mean_by(rows.withColumn("value", F.col("value").cast("double")), ["ord", "layer", "dim"], mask="pooled", name="value").withColumn("value", F.col("value").cast("float")))
+    """mean_pooled from per-token rows by a grouped mean. The mask comes with the rows: Spark takes exploded tables for as small as their files, and would broadcast one side of a join."""
+    made = matrices(_represent(spark, sf_dir, ("per_token",), keep="pooling_mask"), "pooling_mask")
+    rows = _double(extract.per_token(made, ["ord", "layer"], mask="pooling_mask"))
+    return _double(extract.mean_by(rows, ["ord", "layer", "dim"], mask="pooling_mask", name="value").withColumn("value", F.col("value").cast("float")))
 
 
 _SUB = f", a AS (SELECT ord, max(pos) AS n, list(ch ORDER BY pos) AS tk FROM ids GROUP BY 1), s AS (SELECT ord AS sord, n, list_filter(range(1, n), lambda q: tk[q] = 'i' AND tk[q + 1] = 'n') AS starts FROM a)"

@@ -32,11 +32,11 @@ def vectors(outputs: DataFrame) -> DataFrame:
     return outputs.select(*PARTS, "ord", "sequence_id", F.col("values").alias("vector"))
 
 
-def matrices(outputs: DataFrame) -> DataFrame:
-    """Rows (output_type, layer, head, ord, sequence_id, matrix array<array<float>>) of two-dimensional outputs."""
+def matrices(outputs: DataFrame, *more: str) -> DataFrame:
+    """Rows (output_type, layer, head, ord, sequence_id, matrix array<array<float>>) of two-dimensional outputs, with the columns that are named in more."""
     width = F.element_at("shape", 2)
     rows = F.transform(F.sequence(F.lit(0), F.element_at("shape", 1) - 1), lambda i: F.slice("values", i * width + 1, width))
-    return outputs.where(F.size("shape") == 2).select(*PARTS, "ord", "sequence_id", F.when(F.element_at("shape", 1) > 0, rows).otherwise(F.array().cast("array<array<float>>")).alias("matrix"))
+    return outputs.where(F.size("shape") == 2).select(*PARTS, "ord", "sequence_id", F.when(F.element_at("shape", 1) > 0, rows).otherwise(F.array().cast("array<array<float>>")).alias("matrix"), *more)
 
 
 def write_index(sequences: DataFrame, path: str, mode: str = "overwrite") -> None:

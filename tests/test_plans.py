@@ -10,6 +10,7 @@ from residua.encoders.synthetic import LookupEncoder, SyntheticEncoder
 from residua.encoders.transformer import NumpyTransformer
 from residua.functions.tokens import TextCodec
 from residua.functions.vocabulary import Vocabulary, protein
+from residua.operators import extract
 from residua.operators.sequences import tokenise
 from residua.plans import cli
 from residua.plans.pipeline import encode_table, manifest, read_outputs, report, represent, require_space, run
@@ -249,6 +250,22 @@ def test_whole_texts_are_tokenised_as_columns_are(spark):
     assert a.keys() == b.keys() and all(np.array_equal(a[k][1], b[k][1], equal_nan=True) for k in a)
 
 
+def test_masks_come_with_the_outputs(spark):
+    seqs = spark.createDataFrame([(0, "a", "ACDE"), (1, "b", ""), (2, "c", "AC*DEFGH")], "ord long, sequence_id string, sequence string")
+    encoder, longest = SyntheticEncoder(), 10
+    masks = {r.ord: r.pooling_mask for r in tokenise(seqs, V).collect()}
+    for discard in (True, False):
+        spec = EmbedSpec("synthetic", extract=("mean_pooled", "per_token"), discard_padding=discard, batch_size=16)
+        own = {k: m + [False] * (0 if discard else longest - len(m)) for k, m in masks.items()}
+        given = encode_table(seqs, V, spec), seqs
+        for rows, codec in zip(given, (None, TextCodec(V))):
+            made = represent(rows, encoder, resolve(spec, encoder), spec, V.pad_id, longest, codec, "pooling_mask")
+            got = made.collect()
+            assert len(got) == 6 and all(r.pooling_mask == own[r.ord] for r in got)
+            tokens = extract.per_token(sink.matrices(made, "pooling_mask"), ["ord"], mask="pooling_mask").where("dim = 0").collect()
+            assert sorted((r.ord, r.pos, r.pooling_mask) for r in tokens) == [(k, i, x) for k, m in sorted(own.items()) for i, x in enumerate(m)]
+
+
 def test_errors_of_a_run(spark, tmp_path):
     (tmp_path / "in.fasta").write_text(">a\nAC*\n")
     with pytest.raises(ValueError, match="a"):
